@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions.pii_patterns import MARKS, NEEDS, PII_PATTERNS, Needs
+from textward.functions.planning import evaluate_here
 
 # i: ignore case; u: in all of Unicode; U: Unicode \d \w \s \b; d: only \n ends a line for "."
 FLAGS = "(?iuUd)"
@@ -142,7 +143,7 @@ def _guards_hold(mask_char: str) -> bool:
 
 def scan(df: DataFrame, text: str = "text", into: str = "entities") -> DataFrame:
     """Adds the entity types found in the original text, in pattern order."""
-    return with_clues(df, text).withColumn(into, _scan_with(F.col(text))).drop(_WORTH)
+    return with_clues(df, text).withColumn(into, evaluate_here(_scan_with(F.col(text)))).drop(_WORTH)
 
 
 def scan_result(entities: Column) -> Column:
@@ -165,10 +166,10 @@ def mask(df: DataFrame, text: str = "text", into: str = "masked", mask_char: str
     The patterns run one after the other, each on the text the earlier ones left.
     """
     if not _guards_hold(mask_char):
-        return df.withColumn(into, _mask_with(F.col(text), mask_char, guarded=False))
+        return df.withColumn(into, evaluate_here(_mask_with(F.col(text), mask_char, guarded=False)))
     return (
         with_clues(df, text)
-        .withColumn(into, _mask_with(F.col(text), mask_char, guarded=True))
+        .withColumn(into, evaluate_here(_mask_with(F.col(text), mask_char, guarded=True)))
         .drop(_WORTH)
     )
 
