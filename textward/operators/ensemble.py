@@ -56,13 +56,11 @@ def filter_result(
     latency_ms: Column | None = None,
     detail: Column | None = None,
 ) -> Column:
-    if detail is None:
-        detail = F.when(
-            blocked,
-            F.concat(F.lit(f"[BLOCKED] {name} | Confidence: "), S.percent(confidence)),
-        ).otherwise(
-            F.concat(F.lit(f"[PASSED] {name} | Confidence: "), S.percent(F.lit(1.0) - confidence))
-        )
+    """The result struct; a detail that is absent or null becomes the standard line."""
+    standard = F.when(
+        blocked, F.concat(F.lit(f"[BLOCKED] {name} | Confidence: "), S.percent(confidence))
+    ).otherwise(F.concat(F.lit(f"[PASSED] {name} | Confidence: "), S.percent(F.lit(1.0) - confidence)))
+    detail = standard if detail is None else F.coalesce(detail, standard)
     return F.struct(
         (~blocked).alias("passed"),
         F.lit(name).alias("filter_name"),

@@ -45,7 +45,7 @@ def checked_requests(
         F.col("__raw.system_message").alias("system_message"),
         F.coalesce(F.col("__raw.concurrency").try_cast("int"), F.lit(DEFAULT_CONCURRENCY)).alias("__c"),
     )
-    return sound.withColumn("concurrency", F.least(F.col("__c"), F.size("prompts"))).drop("__c")
+    return sound.withColumn("concurrency", F.when(F.col("prompts").isNotNull(), F.least(F.col("__c"), F.size("prompts")))).drop("__c")
 
 
 def prompt_rows(checked: DataFrame) -> DataFrame:

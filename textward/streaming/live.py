@@ -12,12 +12,19 @@ from textward.plans import screening
 from textward.sources import decision_log
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """A Parquet folder as a stream; files that arrive later are picked up."""
+def read_stream(
+    spark: SparkSession, folder: str, schema, files: str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """The Parquet files of a folder as a stream; files that arrive later are picked up.
+
+    ``files`` is a pattern for the names of those that belong to it.
+    """
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def pair_turns(

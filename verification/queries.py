@@ -731,7 +731,7 @@ _ONCE = {"availableNow": True}
 
 def _stream(spark, sf_dir, name) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
-    return live.read_stream(spark, f"{sf_dir}/{name}.parquet", schema)
+    return live.read_stream(spark, sf_dir, schema, f"{name}.parquet")
 
 
 def _finish(query) -> None:
@@ -773,9 +773,8 @@ def stream_pairs(spark, sf_dir):
 
 def stream_windows(spark, sf_dir):
     """Windowed counts in update mode; the last update of a window is its result."""
-    counts = live.decision_windows(
-        _stream(spark, sf_dir, "events"), "1 day", "40 days", by="event_type", latency="value"
-    )
+    arriving = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = live.decision_windows(arriving, "1 day", "40 days", by="event_type", latency="value")
     out = scratch_path(spark, "stream-windows")
 
     def write(batch, batch_id):
@@ -787,7 +786,8 @@ def stream_windows(spark, sf_dir):
     )
     updates = spark.read.parquet(out)
     last = updates.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "mean_latency_ms"), "batch").alias("r"))
-    return last.select("window_start", "event_type", big("r.n").alias("n"), F.round("r.mean_latency_ms", 4).alias("mean_ms"))
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return last.select(start, "event_type", big("r.n").alias("n"), F.round("r.mean_latency_ms", 4).alias("mean_ms"))
 
 
 def stream_first_arrivals(spark, sf_dir):
