@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textward.functions import text as T
+from textward.functions.planning import bind
 
 # Spanish hint words and marker characters, confidences and thresholds.
 SPANISH_HINT_WORDS = (
@@ -87,9 +88,7 @@ def detect(
         F.lit(0.0).alias("confidence"),
         F.lit("fallback_no_alpha").alias("method"),
     )
-    # transform over one element binds the detector's result, so it is computed once.
-    accepted = F.get(F.transform(F.array(found), decide), F.lit(0))
-    return F.when(T.has_two_latin_letters(text), accepted).otherwise(no_letters)
+    return F.when(T.has_two_latin_letters(text), bind(found, decide)).otherwise(no_letters)
 
 
 def target(lang: Column, english: Column | str, spanish: Column | str) -> Column:

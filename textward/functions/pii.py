@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions.pii_patterns import MARKS, NEEDS, PII_PATTERNS, Needs
-from textward.functions.planning import evaluate_here
+from textward.functions.planning import bind, evaluate_here
 
 # i: ignore case; u: in all of Unicode; U: Unicode \d \w \s \b; d: only \n ends a line for "."
 FLAGS = "(?iuUd)"
@@ -59,11 +59,6 @@ def _has_any(fold: Column, literals: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, [F.contains(fold, F.lit(s)) for s in literals])
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` any number of times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 _CLUES, _WORTH = "__pii_clues", "__pii_worth"
 _DISTINCT_NEEDS = list(dict.fromkeys(NEEDS.values()))
 
@@ -120,7 +115,7 @@ def _mask_with(text: Column, mask_char: str, guarded: bool) -> Column:
         )
 
     def step(state: Column, entry: Column) -> Column:
-        return _bind(
+        return bind(
             F.regexp_extract_all(state["text"], entry["regex"], F.lit(0)),
             lambda found: F.when(F.size(found) == 0, state).otherwise(
                 F.struct(

@@ -1,11 +1,18 @@
-"""A hint the optimizer understands through the meaning of expressions alone."""
+"""Ways to have an expression evaluated once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def evaluate_here(column: Column) -> Column:
     """The column, not to be repeated elsewhere in the plan.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textward.functions.planning import bind
+
 # A score above these is shown as danger or as warning.
 DANGER_ABOVE = 0.7
 WARNING_ABOVE = 0.3
@@ -13,12 +15,11 @@ ROUTER_KEY = "input:Language Router"
 
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits, shifted by the largest for stability."""
-    exps = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.get(
-        F.transform(F.array(F.struct(exps.alias("e"), total.alias("t"))),
-                    lambda s: F.transform(s["e"], lambda x: x / s["t"])),
-        F.lit(0),
+    top = F.array_max(logits).cast("double")
+    exps = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+    return bind(
+        F.struct(exps.alias("e"), F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x).alias("total")),
+        lambda s: F.transform(s["e"], lambda x: x / s["total"]),
     )
 
 

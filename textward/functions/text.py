@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textward.functions.planning import bind
+
 # Characters Python counts as whitespace: Unicode White_Space plus the four separators.
+# For patterns with the flag U, under which \\s is all of Unicode's whitespace.
 SPACE = r"\s\x1c-\x1f"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
 LATIN = r"a-zA-ZÀ-ɏ"
@@ -26,11 +30,19 @@ ATTACK_TAGS = {
 }
 
 
-def strip(text: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace."""
+def _strip_short(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def strip(text: Column) -> Column:
+    """Remove leading and trailing Unicode whitespace.
+
+    Only a text that begins or ends with some is searched, since most do not.
+    """
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(rf"(?U)[{SPACE}]"), _strip_short(text)).otherwise(text)
+
+
 def is_blank(text: Column) -> Column:
     """True when nothing but whitespace is left; stops at the first other character."""
     return ~text.rlike(rf"(?U){NOT_SPACE}")
@@ -48,7 +60,7 @@ def clip(text: Column, max_chars: int) -> Column:
 
 def near_duplicate_key(text: Column, prefix_chars: int = 300) -> Column:
     """SHA-256 of the lower-cased, stripped first ``prefix_chars`` code points."""
-    return F.sha2(strip(F.lower(F.substring(text, 1, prefix_chars))), 256)
+    return F.sha2(_strip_short(F.lower(F.substring(text, 1, prefix_chars))), 256)
 
 
 def latin_letter_count(text: Column) -> Column:
@@ -86,28 +98,61 @@ def single_line(text: Column) -> Column:
     return strip(F.translate(text, "\n", " "))
 
 
+def _one_space(ascii_text: Column) -> Column:
+    return F.trim(F.regexp_replace(ascii_text, r"[\s\x1c-\x1f]+", " "))
+
+
+def _ascii_lower(text: Column) -> Column:
+    """Non-ASCII runs become a space, then one space between words, then lower case.
+
+    Doing this before the tags are put in rather than after changes nothing: the lists ignore
+    case, hold only ASCII words, and allow any whitespace inside a phrase.
+    """
+    return F.lower(_one_space(F.regexp_replace(text, r"[^\x00-\x7F]+", " ")))
+
+
+def _has_attack_word(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a word list can match; plain searches, cheaper than the word-bounded pattern."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(w.replace(r"\s+", " "))) for w in words])
+
+
 def _attack_regex(words: tuple[str, ...]) -> str:
-    return rf"(?i)\b(?:{'|'.join(words)})\b"
+    return rf"\b(?:{'|'.join(words)})\b"
 
 
 def tag_attack_words(text: Column) -> Column:
     """Drop non-ASCII runs, replace attack words by their tag in tag order, collapse, lower."""
-    out = F.regexp_replace(strip(text), r"[^\x00-\x7F]+", " ")
+    out = _ascii_lower(text)
     for tag, words in ATTACK_TAGS.items():
-        out = F.regexp_replace(out, _attack_regex(words), f" {tag} ")
-    return F.lower(normalize_whitespace(out))
+        out = bind(out, _tagging(tag, words))
+    return out
+
+
+def _tagging(tag: str, words: tuple[str, ...]) -> Callable[[Column], Column]:
+    def replace(low: Column) -> Column:
+        tagged = F.regexp_replace(low, _attack_regex(words), f" {tag.lower()} ")
+        return F.when(_has_attack_word(low, words), _one_space(tagged)).otherwise(low)
+
+    return replace
 
 
 def attack_tag_flags(text: Column) -> Column:
-    """The tags ``tag_attack_words`` would insert, in tag order.
+    """The tags ``tag_attack_words`` puts in, in tag order.
 
-    Each list is tested after the earlier lists were replaced, as there.
+    No tag holds a word of another list between word boundaries, so each list can be looked for
+    in the text itself.
     """
-    flags, out = [], F.regexp_replace(strip(text), r"[^\x00-\x7F]+", " ")
-    for tag, words in ATTACK_TAGS.items():
-        flags.append(F.when(out.rlike(_attack_regex(words)), F.lit(tag)))
-        out = F.regexp_replace(out, _attack_regex(words), f" {tag} ")
-    return F.array_compact(F.array(*flags))
+    return bind(
+        _ascii_lower(text),
+        lambda low: F.array_compact(
+            F.array(
+                *[
+                    F.when(_has_attack_word(low, words) & low.rlike(_attack_regex(words)), F.lit(tag))
+                    for tag, words in ATTACK_TAGS.items()
+                ]
+            )
+        ),
+    )
 
 
 Preprocessor = Callable[[Column], Column]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import labels as L
 from textward.functions import scores as S
+from textward.functions.planning import bind
 from textward.functions.text import PREPROCESSORS
 
 FILTER_RESULT = (
@@ -103,19 +104,15 @@ def external_backend(spec: ClassifierSpec, text: Column) -> Column:
     Scores are clamped to [0, 1] and block when strictly above the threshold. A row that fails
     gets a null confidence, does not pass, and carries the error as its detail.
     """
-    scored = external_scores(spec.options["load"])(text)
-    return F.get(
-        F.transform(
-            F.array(scored),
-            lambda s: filter_result(
-                spec.label,
-                s["error"].isNotNull() | S.exceeds(S.clamp01(s["score"]), spec.threshold),
-                F.when(s["error"].isNull(), S.clamp01(s["score"])),
-                s["latency_ms"],
-                F.when(s["error"].isNotNull(), F.concat(F.lit("error: "), s["error"])),
-            ),
+    return bind(
+        external_scores(spec.options["load"])(text),
+        lambda s: filter_result(
+            spec.label,
+            s["error"].isNotNull() | S.exceeds(S.clamp01(s["score"]), spec.threshold),
+            F.when(s["error"].isNull(), S.clamp01(s["score"])),
+            s["latency_ms"],
+            F.when(s["error"].isNotNull(), F.concat(F.lit("error: "), s["error"])),
         ),
-        F.lit(0),
     )
 
 

@@ -19,6 +19,7 @@ from textward.operators import models
 from textward.plans import evaluation, screening
 from textward.session import scratch_path, staged
 from textward.sources import batches, corpus, decision_log
+from textward.sources.reading import spread
 from textward.sources.catalogue import SourceSpec
 from textward.streaming import live
 
@@ -66,7 +67,7 @@ def r6(column) -> F.Column:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def turns(spark, sf_dir):
@@ -286,21 +287,22 @@ def truncated_inputs(spark, sf_dir):
     )
 
 
-def _length_model():
-    """Stands in for a model from outside: fails on a text without a vowel in its first word."""
+def _external() -> E.ClassifierSpec:
+    """Stands in for a model from outside, one that cannot score texts beginning with T."""
 
-    def score(texts):
-        out = []
-        for text in texts:
-            if text.startswith("T"):
+    # Inside a function, so that it reaches the Python workers by value.
+    def load():
+        def score(texts):
+            if any(text.startswith("T") for text in texts):
                 raise ValueError("cannot score")
-            out.append(len(text) % 100 / 80.0)
-        return out
+            return [len(text) % 100 / 80.0 for text in texts]
 
-    return score
+        return score
 
+    return E.ClassifierSpec("external_model", backend="external", threshold=0.6, options={"load": load})
 
-EXTERNAL = E.ClassifierSpec("external_model", backend="external", threshold=0.6, options={"load": _length_model})
+
+EXTERNAL = _external()
 
 
 def external_classifier(spark, sf_dir):
