@@ -736,15 +736,21 @@ def _stream(spark, sf_dir, name) -> DataFrame:
     return live.read_stream(spark, sf_dir, schema, f"{name}.parquet")
 
 
+def _arriving_documents(spark, sf_dir) -> DataFrame:
+    """Documents as requests, spread by key because a file arrives as few splits."""
+    cores = spark.sparkContext.defaultParallelism
+    return _stream(spark, sf_dir, "documents").repartition(cores, "doc_id").select(
+        "doc_id", F.col("text").alias("prompt"), F.col("text").alias("response")
+    )
+
+
 def _finish(query) -> None:
     query.awaitTermination()
 
 
 def stream_screening(spark, sf_dir):
     """Documents arriving as requests, screened into the decision log, read back."""
-    arriving = _stream(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("prompt"), F.col("text").alias("response")
-    )
+    arriving = _arriving_documents(spark, sf_dir)
     log = scratch_path(spark, "stream-log")
     _finish(live.append_to_log(live.screen_stream(arriving, GUARDS), log, scratch_path(spark, "cp"), _ONCE))
     return spark.read.parquet(log).select("doc_id", "type", "decision", "response", "detail")
@@ -752,9 +758,7 @@ def stream_screening(spark, sf_dir):
 
 def stream_newest(spark, sf_dir):
     """The newest entries of a log a stream has written: all from here, so ordered by document."""
-    arriving = _stream(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("prompt"), F.col("text").alias("response")
-    )
+    arriving = _arriving_documents(spark, sf_dir)
     log = scratch_path(spark, "stream-log")
     _finish(live.append_to_log(live.screen_stream(arriving, GUARDS), log, scratch_path(spark, "cp"), _ONCE))
     return decision_log.newest(decision_log.read(spark, log), 500, ("doc_id",)).select("doc_id", "type", "decision")
