@@ -73,7 +73,7 @@ def test_scores(results):
 
 def test_log_keeps_all_but_requests_without_prompt(spark, tmp_path):
     df = spark.createDataFrame([(k, *v) for k, v in CASES.items()], "id string, prompt string, response string")
-    entries = P.log_entries(P.screen(df))
+    entries = P.log_entries(P.screen(df.drop("id")))
     path = str(tmp_path / "log")
     decision_log.append(entries, path)
     decision_log.append(entries.limit(1), path)

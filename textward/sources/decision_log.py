@@ -18,8 +18,12 @@ LOG_COLUMNS = [
 
 
 def stamped(entries: DataFrame) -> DataFrame:
-    """Adds the UTC time and an eight-character id."""
-    return entries.withColumn("ts", F.current_timestamp()).withColumn("id", F.substring(F.uuid(), 1, 8))
+    """Adds the UTC time as ``ts`` and an eight-character ``id``, unless a row brings its own."""
+    if "ts" not in entries.columns:
+        entries = entries.withColumn("ts", F.current_timestamp())
+    if "id" not in entries.columns:
+        entries = entries.withColumn("id", F.substring(F.uuid(), 1, 8))
+    return entries
 
 
 def append(entries: DataFrame, path: str) -> None:

@@ -389,7 +389,7 @@ SQL["decision_stats"] = f"{_TURN_RESULTS} SELECT {_COUNTS} FROM results"
 SQL["batch_screening"] = f"{_TURN_RESULTS} SELECT conv_id, {_COUNTS} FROM results GROUP BY conv_id"
 SQL["latency_stats"] = f"""
 WITH log AS (SELECT CASE event_type WHEN 'signup' THEN 'ALLOWED' WHEN 'view' THEN 'ALLOWED' WHEN 'click' THEN 'BLOCKED'
-    WHEN 'purchase' THEN 'DROPPED' ELSE 'ERROR' END AS decision, CASE WHEN event_type <> 'error' THEN value END AS l FROM events)
+    WHEN 'purchase' THEN 'DROPPED' ELSE 'ERROR' END AS decision, CASE WHEN event_type <> 'error' THEN round(value * 100)::BIGINT END AS l FROM events)
 SELECT {_COUNTS}, coalesce(round(avg(l), 3), 0.0) AS average_total_latency_ms FROM log"""
 SQL["blocked_by_freq"] = f"""{_TURN_RESULTS}
 SELECT filter_name, decision, count(*) AS n FROM
@@ -546,7 +546,7 @@ FROM confusion JOIN auc USING ({_SLICE}) JOIN latency USING ({_SLICE})"""
 SQL["p95_rank"] = """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place,
            count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
-SELECT event_type, round(avg(value), 6) AS mean_ms, max(CASE WHEN place = round_even(0.95::DOUBLE * (n - 1), 0) THEN value END) AS p95_ms
+SELECT event_type, round(avg(round(value * 100)::BIGINT), 6) AS mean_cents, max(CASE WHEN place = round_even(0.95::DOUBLE * (n - 1), 0) THEN value END) AS p95_ms
 FROM r GROUP BY event_type"""
 
 SQL["threshold_sweep"] = f"""
@@ -591,7 +591,7 @@ SQL["stream_newest"] = f"""{_DOC_RESULTS}
 SELECT doc_id, log_type AS type, decision FROM results WHERE stage <> 'no_prompt' ORDER BY doc_id DESC LIMIT 500"""
 SQL["stream_pairs"] = f"SELECT * FROM ({_TURNS}) WHERE response IS NOT NULL"
 SQL["stream_windows"] = SQL["windowed_decisions"] = """
-SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean_ms
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(avg(round(value * 100)::BIGINT), 6) AS mean_cents
 FROM events GROUP BY 1, 2"""
 SQL["stream_first_arrivals"] = f"SELECT DISTINCT {near_key('text')} AS near_key FROM documents"
 

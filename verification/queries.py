@@ -66,6 +66,12 @@ def r6(column) -> F.Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
+def events(spark, sf_dir) -> DataFrame:
+    """Events with their value as a whole number of cents, whose mean no summing order changes."""
+    e = table(spark, sf_dir, "events")
+    return e.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+
+
 def docs(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -452,13 +458,13 @@ def decision_stats(spark, sf_dir):
 
 def latency_stats(spark, sf_dir):
     """Decision counts and mean latency over events as a decision log; errors have none."""
-    e = table(spark, sf_dir, "events")
+    e = events(spark, sf_dir)
     names = {"signup": "ALLOWED", "view": "ALLOWED", "click": "BLOCKED", "purchase": "DROPPED"}
     decision = F.lit("ERROR")
     for event, name in names.items():
         decision = F.when(F.col("event_type") == event, name).otherwise(decision)
     log = e.select(
-        decision.alias("decision"), F.when(F.col("event_type") != "error", F.col("value")).alias("total_latency_ms")
+        decision.alias("decision"), F.when(F.col("event_type") != "error", F.col("cents")).alias("total_latency_ms")
     )
     return summaries.decision_counts(log)
 
@@ -661,8 +667,8 @@ def evaluation_report(spark, sf_dir):
 
 
 def p95_rank(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    means = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_ms"))
+    e = events(spark, sf_dir)
+    means = e.groupBy("event_type").agg(F.round(F.avg("cents"), 6).alias("mean_cents"))
     p95 = ranks.value_at_rank(e, ["event_type"], "value", ranks.p95_rank, "p95_ms")
     return means.join(p95, "event_type")
 
@@ -779,8 +785,11 @@ def stream_pairs(spark, sf_dir):
 
 def stream_windows(spark, sf_dir):
     """Windowed counts in update mode; the last update of a window is its result."""
-    arriving = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = live.decision_windows(arriving, "1 day", "40 days", by="event_type", latency="value")
+    arriving = _stream(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+    )
+    counts = live.decision_windows(arriving, "1 day", "40 days", by="event_type", latency="cents")
     out = scratch_path(spark, "stream-windows")
 
     def write(batch, batch_id):
@@ -793,7 +802,7 @@ def stream_windows(spark, sf_dir):
     updates = spark.read.parquet(out)
     last = updates.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "mean_latency_ms"), "batch").alias("r"))
     start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
-    return last.select(start, "event_type", big("r.n").alias("n"), F.round("r.mean_latency_ms", 4).alias("mean_ms"))
+    return last.select(start, "event_type", big("r.n").alias("n"), r6("r.mean_latency_ms").alias("mean_cents"))
 
 
 def stream_first_arrivals(spark, sf_dir):
@@ -805,8 +814,8 @@ def stream_first_arrivals(spark, sf_dir):
 
 
 def windowed_decisions(spark, sf_dir):
-    w = live.decision_windows(table(spark, sf_dir, "events"), "1 day", by="event_type", latency="value")
-    return w.select("window_start", "event_type", big("n").alias("n"), F.round("mean_latency_ms", 4).alias("mean_ms"))
+    w = live.decision_windows(events(spark, sf_dir), "1 day", by="event_type", latency="cents")
+    return w.select("window_start", "event_type", big("n").alias("n"), r6("mean_latency_ms").alias("mean_cents"))
 
 
 _NAMES = [
