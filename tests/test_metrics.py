@@ -56,10 +56,9 @@ def p95(values):
     return values[max(0, min(len(values) - 1, int(round(0.95 * (len(values) - 1)))))]
 
 
-@pytest.mark.parametrize("n,levels,ranges", [(700, None, 256), (600, 10, 256), (500, None, 4), (40, 3, 2)])
-def test_report(spark, monkeypatch, n, levels, ranges):
-    monkeypatch.setattr(ranks, "RANGES", ranges)
-    monkeypatch.setattr(ranks.range_bounds, "__defaults__", (ranges,))
+@pytest.mark.parametrize("n,levels,per_range", [(700, None, 250_000), (700, None, 10), (600, 10, 5), (500, None, 400)])
+def test_report(spark, monkeypatch, n, levels, per_range):
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", per_range)
     rows = make_rows(n, n, levels)
     report = {(r["tbl"], r["dimension"], r["value"]): r for r in V.evaluate(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = slices(rows)

@@ -26,19 +26,19 @@ Detector = Callable[[Column], Column]
 
 def heuristic_detector(text: Column) -> Column:
     """STRUCT<lang, confidence>: marker characters first, then hint words, then English."""
-    marked = F.lower(text).rlike(f"[{SPANISH_MARKERS}]")
-    hinted = T.contains_word(text, SPANISH_HINT_WORDS)
-    any_word = F.lower(text).rlike(f"[{T.LATIN}]")
 
     def found(lang: str, confidence: float) -> Column:
         return F.struct(F.lit(lang).alias("lang"), F.lit(confidence).alias("confidence"))
 
-    return (
-        F.when(marked, found("es", MARKER_CONFIDENCE))
-        .when(hinted, found("es", WORD_CONFIDENCE))
-        .when(any_word, found("en", WORD_CONFIDENCE))
-        .otherwise(found("en", 0.0))
-    )
+    def look(low: Column) -> Column:
+        return (
+            F.when(low.rlike(f"[{SPANISH_MARKERS}]"), found("es", MARKER_CONFIDENCE))
+            .when(T.contains_word(low, SPANISH_HINT_WORDS), found("es", WORD_CONFIDENCE))
+            .when(low.rlike(f"[{T.LATIN}]"), found("en", WORD_CONFIDENCE))
+            .otherwise(found("en", 0.0))
+        )
+
+    return bind(F.lower(text), look)
 
 
 def long_text_detector(text: Column, detector: Detector = heuristic_detector) -> Column:

@@ -88,9 +88,12 @@ def latin_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[{LATIN}]+"), F.lit(0)))
 
 
-def contains_word(text: Column, words: tuple[str, ...] | list[str]) -> Column:
-    """Whether any of the words is in ``latin_words(text)``, without building the array."""
-    return F.lower(text).rlike(f"(?<![{LATIN}])(?:{'|'.join(words)})(?![{LATIN}])")
+def contains_word(low: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Whether a lower-cased text has any of the words among its runs of Latin letters.
+
+    The same as looking them up in ``latin_words``, without building the array.
+    """
+    return low.rlike(f"(?<![{LATIN}])(?:{'|'.join(words)})(?![{LATIN}])")
 
 
 def single_line(text: Column) -> Column:

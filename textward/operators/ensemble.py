@@ -76,26 +76,36 @@ def filter_result(
 
 def keyword_hit(text: Column, keywords: Sequence[str]) -> Column:
     """Whether any keyword occurs in the text, ignoring case. No keywords, no hit."""
-    low = F.lower(text)
-    hit = F.lit(False)
-    for keyword in keywords:
-        hit = hit | F.contains(low, F.lit(keyword.lower()))
-    return hit
+
+    def search(low: Column) -> Column:
+        hit = F.lit(False)
+        for keyword in keywords:
+            hit = hit | F.contains(low, F.lit(keyword.lower()))
+        return hit
+
+    return bind(F.lower(text), search)
 
 
 def keyword_backend(spec: ClassifierSpec, text: Column) -> Column:
-    blocked = keyword_hit(text, spec.options["keywords"])
-    return filter_result(
-        spec.label, blocked, F.when(blocked, KEYWORD_HIT).otherwise(KEYWORD_MISS)
+    return bind(
+        keyword_hit(text, spec.options["keywords"]),
+        lambda blocked: filter_result(
+            spec.label, blocked, F.when(blocked, KEYWORD_HIT).otherwise(KEYWORD_MISS)
+        ),
     )
 
 
 def keyword_share_backend(spec: ClassifierSpec, text: Column) -> Column:
-    """Graded score: hits per word of the keyword list, against the threshold."""
-    low = F.lower(text)
-    found = [F.contains(low, F.lit(k.lower())).cast("int") for k in spec.options["keywords"]]
-    score = sum(found[1:], found[0]).cast("double") / len(found)
-    return filter_result(spec.label, S.exceeds(score, spec.threshold), score)
+    """Graded score: the share of the keyword list found, against the threshold."""
+
+    def share(low: Column) -> Column:
+        found = [F.contains(low, F.lit(k.lower())).cast("int") for k in spec.options["keywords"]]
+        return sum(found[1:], found[0]).cast("double") / len(found)
+
+    return bind(
+        bind(F.lower(text), share),
+        lambda score: filter_result(spec.label, S.exceeds(score, spec.threshold), score),
+    )
 
 
 def external_backend(spec: ClassifierSpec, text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Running totals and rank picks over ordered values, without sorting a slice in one task.
 
 The input has one row per (slice, value), already counted. Values are cut into ranges at
-approximate quantiles, at most ``RANGES`` of them; totals per (slice, range) are summed up in a
-window of at most that many rows, and each range is then summed up by itself.
+approximate quantiles, enough that a range holds about ``ROWS_PER_RANGE`` rows; totals per
+(slice, range) are summed up in a window of one row per range, and each range is then summed up
+by itself. A table that small has one range and needs no quantiles.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ from pyspark.sql import functions as F
 
 from textward.session import staged
 
-RANGES = 256
+ROWS_PER_RANGE = 250_000
+MAX_RANGES = 2048
 
 
-def range_bounds(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
-    """At most ``ranges - 1`` increasing values that cut the column into similar parts.
+def range_bounds(df: DataFrame, value: str) -> list[float]:
+    """Increasing values that cut the column into similar parts, fewer than ``MAX_RANGES``.
 
     They come to the driver and are used as literals, so that a task that is run again puts a
     value into the same range. They only share out the work; any bounds give the same result.
     """
+    ranges = min(MAX_RANGES, -(-df.count() // ROWS_PER_RANGE))
+    if ranges <= 1:
+        return []
     points = [i / ranges for i in range(1, ranges)]
     found = df.agg(F.percentile_approx(value, points, 10 * ranges)).first()[0]
     return sorted({float(v) for v in found or []})

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textward.functions.planning import evaluate_here
 from textward.session import staged
 
 BUCKET_HEX_DIGITS = 3  # 4096 buckets per stratum
@@ -24,7 +25,7 @@ BUCKET_HEX_DIGITS = 3  # 4096 buckets per stratum
 
 def seeded_hash(seed: int | str, order: str) -> Column:
     """Hex SHA-256 of ``seed|order value``: the sampling order, the same on every run."""
-    return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string")), 256)
+    return evaluate_here(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string")), 256))
 
 
 def _bucket(hash_column: str) -> Column:
@@ -177,8 +178,7 @@ def balance(
         return F.least(size, F.greatest(F.lit(1), rounded.cast("bigint")))
 
     strata = ["source", "lang"]
-    hashed = df.withColumn("__hash", seeded_hash(seed, order))
-    negatives = hashed.filter(label == 0)
+    negatives = df.filter(label == 0).withColumn("__hash", seeded_hash(seed, order))
     shares = cut_table(negatives, strata, "__hash", {"share": share})
     drawn = with_cuts(negatives.select(*strata, "__hash"), strata, "__hash", shares).filter(
         F.col("__hash") <= F.col("cut_share")

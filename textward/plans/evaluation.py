@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from textward.functions.planning import evaluate_here
 from textward.operators import ensemble as E
 from textward.operators import metrics as M
 from textward.session import staged
@@ -42,7 +43,7 @@ def first_rows(df: DataFrame, limit: int | None, order: str = "pos") -> DataFram
 
 def predictions(df: DataFrame, spec: E.ClassifierSpec, text: str = "text") -> DataFrame:
     """Adds ``pred``, ``score`` and ``latency_ms``; rows the classifier failed on are left out."""
-    scored = df.withColumn("__result", E.classify(spec, F.col(text)))
+    scored = df.withColumn("__result", evaluate_here(E.classify(spec, F.col(text))))
     result = F.col("__result")
     return scored.filter(result["confidence"].isNotNull()).select(
         *df.columns,

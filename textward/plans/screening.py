@@ -53,36 +53,45 @@ RESULT_COLUMNS = [
 # ---- requests -----------------------------------------------------------------------------------
 
 
+def _prompts(conversations: DataFrame) -> DataFrame:
+    return conversations.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("prompt")
+    )
+
+
+def _answers(conversations: DataFrame) -> DataFrame:
+    """Assistant turns, under the number of the turn before them."""
+    return conversations.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
+    )
+
+
 def user_turns(conversations: DataFrame) -> DataFrame:
     """Every user turn as a request, with the assistant turn right after it, if there is one.
 
     Joined on (conversation, turn), a key no row shares with another, so that a long
     conversation is spread over all tasks.
     """
-    prompts = conversations.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("prompt")
-    )
-    answers = conversations.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
-    )
-    return prompts.join(answers, ["conv_id", "turn"], "left")
+    return _prompts(conversations).join(_answers(conversations), ["conv_id", "turn"], "left")
 
 
 def last_prompts(conversations: DataFrame) -> DataFrame:
-    """Per conversation, the text of its last user turn (``""`` without one) and that turn."""
-    is_user = F.col("role") == "user"
-    last = F.max(F.when(is_user, F.struct("turn", "text")))
-    return conversations.groupBy("conv_id").agg(last.alias("last")).select(
-        "conv_id", F.col("last.turn").alias("turn"), F.coalesce("last.text", F.lit("")).alias("prompt")
+    """Per conversation, the text of its last user turn (``""`` without one) and that turn.
+
+    The turn is found from the narrow columns; only then are texts joined, by (conversation,
+    turn), which is also the key the responses are joined by.
+    """
+    last = conversations.groupBy("conv_id").agg(
+        F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("turn")
+    )
+    return last.join(_prompts(conversations), ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.coalesce("prompt", F.lit("")).alias("prompt")
     )
 
 
 def last_turns(conversations: DataFrame) -> DataFrame:
     """One request per conversation: its last user prompt and the response recorded for it."""
-    answers = conversations.filter(F.col("role") == "assistant").select(
-        F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
-    )
-    return last_prompts(conversations).join(answers, ["conv_id", "turn"], "left")
+    return last_prompts(conversations).join(_answers(conversations), ["conv_id", "turn"], "left")
 
 
 def requests_from_messages(df: DataFrame, messages: str = "messages") -> DataFrame:

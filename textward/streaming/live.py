@@ -98,16 +98,24 @@ def decision_windows(
     )
 
 
-def first_arrivals(rows: DataFrame, ts: str = "ts", within: str = "1 hour", text: str = "text") -> DataFrame:
+def first_arrivals(
+    rows: DataFrame, ts: str = "ts", within: str = "1 hour", text: str = "text", salts: int = 16
+) -> DataFrame:
     """Rows whose near-duplicate key has not arrived within the watermark.
 
-    The first to arrive wins, not the first in order; state is one key per distinct text.
+    The first to arrive wins, not the first in order. Copies are first dropped per (key, salt),
+    the salt coming from the whole row, so that a key many rows share is spread over ``salts``
+    tasks and at most that many rows of it go on to the task that keeps one.
     """
-    return (
-        rows.withColumn("near_key", near_duplicate_key(F.col(text)))
+    salt = F.pmod(F.xxhash64(F.struct(*[F.col(c) for c in rows.columns])), F.lit(salts))
+    keyed = (
+        rows.withColumn("__salt", salt)
+        .withColumn("near_key", near_duplicate_key(F.col(text)))
         .withWatermark(ts, within)
-        .dropDuplicatesWithinWatermark(["near_key"])
     )
+    if salts > 1:
+        keyed = keyed.dropDuplicatesWithinWatermark(["near_key", "__salt"])
+    return keyed.dropDuplicatesWithinWatermark(["near_key"]).drop("__salt")
 
 
 def write_table(results: DataFrame, path: str, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
