@@ -263,3 +263,9 @@ def test_truncation_is_not_stripped_again(spark):
 def test_empty_sink(spark, tmp_path):
     assert not sinks.write_table(spark.range(0), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_shuffled_order(spark):
+    df = spark.createDataFrame([(i, "t") for i in range(50)], "pos long, text string")
+    got = [r["pos"] for r in sampling.shuffled(df).collect()]
+    assert got == sorted(range(50), key=lambda p: hash_of("7-order", p)) and got != list(range(50))

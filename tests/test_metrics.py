@@ -166,3 +166,21 @@ def test_sequence_and_truncation(spark):
     assert r[0]["passed"] and r[0]["detail"] == "[PASSED] m | P(injection)=50.0%"
     assert not r[1]["passed"] and r[1]["detail"] == "[BLOCKED] m | P(injection)=73.1%"
     assert [x[0] for x in spark.createDataFrame([(127,), (128,)], "n int").select(E.is_truncated(F.col("n"), 128)).collect()] == [False, True]
+
+
+def test_nested_report(spark, tmp_path):
+    import json
+
+    from textward.sources import sinks
+
+    rows = make_rows(60, 8, 5)
+    report = V.evaluate(spark.createDataFrame(rows, SCHEMA))
+    text = V.nested_report(report, "kw", 10).first()["report"]
+    body = json.loads(text)
+    overall = M.confusion_counts(spark.createDataFrame(rows, SCHEMA)).filter("dimension = 'overall'").first()
+    table = body["tables"]["t"]
+    assert body["classifier"] == "kw" and body["limit"] == 10 and table["n"] == 60
+    assert table["confusion"] == {k: overall[k] for k in ("tp", "fp", "tn", "fn")}
+    assert list(table["by_source"]) == sorted(table["by_source"]) and table["by_source"]["one_class"]["roc_auc"] is None
+    sinks.write_report(V.rounded_report(report), str(tmp_path / "r"))
+    assert sinks.read_report(spark, str(tmp_path / "r")).count() == report.count()

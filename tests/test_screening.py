@@ -83,6 +83,10 @@ def test_log_keeps_all_but_requests_without_prompt(spark, tmp_path):
     rows = log.filter("failed_filters is not null").select("decision").distinct().collect()
     assert {r[0] for r in rows} == {"BLOCKED", "DROPPED"}
     assert decision_log.newest(log, 3).count() == 3
+    today = str(log.agg(F.max("day")).first()[0])
+    assert decision_log.read(spark, path, today).count() == log.count()
+    recent = decision_log.read(spark, path, "2999-01-01")
+    assert recent.count() == 0 and "PartitionFilters: [isnotnull(day" in recent._jdf.queryExecution().executedPlan().toString()
     for bad in (0, 501):
         with pytest.raises(ValueError):
             decision_log.newest(log, bad)

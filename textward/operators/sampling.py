@@ -251,4 +251,4 @@ def split(
 
 def shuffled(df: DataFrame, seed: int = 7, order: str = "pos") -> DataFrame:
     """The rows in an order that has nothing to do with where they came from."""
-    return df.orderBy(seeded_hash(f"{seed}-order", order))
+    return df.withColumn("__order", seeded_hash(f"{seed}-order", order)).orderBy("__order").drop("__order")

@@ -87,6 +87,36 @@ def rounded_report(report: DataFrame) -> DataFrame:
     ).orderBy("tbl", "dimension", "value")
 
 
+def nested_report(report: DataFrame, classifier: str, limit: int | None = None) -> DataFrame:
+    """One row with the JSON of a report: per table the overall metrics, and those by slice.
+
+    ``report`` holds a few rows per table, one for each source and language.
+    """
+    shown = rounded_report(report)
+    metrics = F.struct(
+        F.col("accuracy"),
+        F.struct(*sorted(["tp", "fp", "tn", "fn"])).alias("confusion"),
+        *[F.col(c) for c in ("f1", "mean_latency_ms", "n", "p95_latency_ms", "pr_auc", "precision", "recall", "roc_auc")],
+    )
+    of = lambda d: F.col("dimension") == d
+    by = lambda d: F.map_from_entries(
+        F.sort_array(F.collect_list(F.when(of(d) & F.col("value").isNotNull(), F.struct("value", "m"))))
+    )
+    tables = shown.withColumn("m", metrics).groupBy("tbl").agg(
+        F.first(F.when(of("overall"), F.col("m")), ignorenulls=True).alias("overall"),
+        by("lang").alias("by_lang"),
+        by("source").alias("by_source"),
+    )
+    entry = F.struct("by_lang", "by_source", "overall.*")
+    by_name = lambda a, b: F.when(a["tbl"] < b["tbl"], -1).when(a["tbl"] > b["tbl"], 1).otherwise(0)
+    named = F.array_sort(F.collect_list(F.struct("tbl", entry.alias("r"))), by_name)
+    all_tables = tables.groupBy().agg(F.map_from_entries(named).alias("tables"))
+    body = F.struct(
+        F.lit(classifier).alias("classifier"), F.lit(limit).cast("int").alias("limit"), F.col("tables")
+    )
+    return all_tables.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+
+
 def compare(
     spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, E.ClassifierSpec], name: str
 ) -> DataFrame:
@@ -121,6 +151,11 @@ def promotion_gate(
     holds when that slice has no rows; F1 up by ten points on at least two of the sources.
     """
 
+    # Small results of costly scans, each read several times below.
+    shared = spanish_baseline is baseline
+    candidate, baseline = staged(candidate, "report"), staged(baseline, "report")
+    spanish_baseline = baseline if shared else staged(spanish_baseline, "report")
+
     def pick(report: DataFrame, tbl: str, dimension: str, value: str, metric: str) -> Column:
         return (
             report.filter(

@@ -18,6 +18,8 @@ def build_session(app: str = "textward", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Texts can be long: a batch for an external model holds fewer of them than the default.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)

@@ -27,12 +27,17 @@ def stamped(entries: DataFrame) -> DataFrame:
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Adds the entries to the log; the table keeps everything, the views are what is bounded."""
-    stamped(entries).write.mode("append").parquet(path)
+    """Adds the entries to the log, one folder per day.
 
+    The table keeps everything; what is bounded are the views on it.
+    """
+    stamped(entries).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def read(spark: SparkSession, path: str, since_day: str | None = None) -> DataFrame:
+    """The log, or only its days from ``since_day`` on, whose folders alone are then read."""
+    log = spark.read.parquet(path)
+    return log.filter(F.col("day") >= F.lit(since_day).cast("date")) if since_day else log
 
 
 def newest(log: DataFrame, limit: int = DEFAULT_ENTRIES, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
