@@ -82,7 +82,8 @@ def with_ratios(counts: DataFrame) -> DataFrame:
 
 def score_counts(scored: DataFrame) -> DataFrame:
     """Positives and negatives per (slice, score)."""
-    base = with_defaults(scored).groupBy("tbl", "source", "lang", "score").agg(
+    known = with_defaults(scored).filter(F.col("score").isNotNull())
+    base = known.groupBy("tbl", "source", "lang", "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     return in_slices(base).groupBy(*SLICE, "score").agg(

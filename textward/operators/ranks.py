@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,14 @@ def range_bounds(df: DataFrame, value: str) -> list[float]:
     return sorted({float(v) for v in found or []})
 
 
-def _range_of(value: Column, bounds: list[float]) -> Column:
-    """How many bounds lie below the value."""
+def _with_range(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """Adds the number of the range a value is in, growing with the value."""
     if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value))
+        return df.withColumn("__range", F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    numbered = Bucketizer(splits=splits, inputCol="__value", outputCol="__range", handleInvalid="keep")
+    out = numbered.transform(df.withColumn("__value", F.col(value).cast("double"))).drop("__value")
+    return out.withColumn("__range", F.col("__range").cast("int"))
 
 
 def running_totals(
@@ -45,27 +49,28 @@ def running_totals(
 ) -> DataFrame:
     """Adds, per summed column, ``<c>_below`` (rows of smaller value) and ``<c>_total``.
 
-    ``df`` has one row per (slice, value) and should be staged: it is read three times.
+    ``df`` has one row per (slice, value), no null values, and should be staged: it is read
+    up to four times.
     """
-    by = list(by)
     bounds = range_bounds(df, value)
-    ranged = df.withColumn("__range", _range_of(F.col(value).cast("double"), bounds))
-    per_range = ranged.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
-    within = Window.partitionBy(*by)
+    # One key that is never null, so that the windows and the join below agree on where rows go.
+    # Each part is preceded by its length, so different slices have different keys.
+    part = lambda c: F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string"))
+    slice_key = F.concat(*[F.coalesce(part(F.col(c)), F.lit("-")) for c in by])
+    ranged = _with_range(df, value, bounds).withColumn("__slice", slice_key)
+    key = ["__slice", "__range"]
+    per_range = ranged.groupBy(*key).agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy("__slice")
     earlier = within.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *[F.col(c).alias(f"__by_{c}") for c in by],
-        F.col("__range").alias("__by_range"),
+        *key,
         *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}_before") for c in sums],
         *[F.sum(f"__{c}").over(within).alias(f"{c}_total") for c in sums],
     )
-    same = F.col("__range") == F.col("__by_range")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
-    local = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumns({f"__{c}_local": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in sums})
-        .join(offsets, same)
+        .join(offsets, key)
         .select(
             *df.columns,
             *[(F.col(f"__{c}_before") + F.col(f"__{c}_local")).alias(f"{c}_below") for c in sums],
