@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame
 SMALL_BYTES = 256 << 20
 
 
+def is_small(df: DataFrame, small_bytes: int = SMALL_BYTES) -> bool:
+    """Whether the planner, going by the files, takes the table for a small one."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < small_bytes
+
+
 def spread(df: DataFrame, key: str, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """A small table hashed over all cores by a unique key; a larger one as it is.
 
-    The size is the planner's own, from the files. Large tables come in enough splits, and
-    shuffling them just to spread the work would cost more than it gives.
+    Large tables come in enough splits, and shuffling them just to spread the work would cost
+    more than it gives.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= small_bytes:
+    if not is_small(df, small_bytes):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

@@ -252,6 +252,13 @@ SQL["clamp_threshold"] = """
 WITH s AS (SELECT vec_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, embedding[1]::DOUBLE * 4)) AS s FROM embeddings)
 SELECT vec_id, round(s, 6) AS score, s > 0.5::DOUBLE AS blocked FROM s"""
 
+SQL["toxicity_details"] = """
+WITH p AS (SELECT doc_id, toxic, (doc_id % 1000)::DOUBLE / 1000.0::DOUBLE AS p FROM labels)
+SELECT doc_id, toxic <> 1 AS passed, round(p, 6) AS confidence,
+       CASE WHEN toxic = 1 THEN printf('🚩 [ALERT] TOXIC CONTENT | Confidence: %.1f%%', p * 100)
+            ELSE printf('✅ [CLEAN] SAFE | Confidence: %.1f%%', (1.0::DOUBLE - p) * 100) END AS detail
+FROM p"""
+
 SQL["truncated_inputs"] = f"SELECT doc_id, {words('text')} >= 512 AS truncated FROM documents"
 
 _EXTERNAL = "least(1.0::DOUBLE, (length(text) % 100)::DOUBLE / 80.0::DOUBLE)"
@@ -399,6 +406,12 @@ _FAILED_OR_NONE = "CASE WHEN stage IN ('blocked', 'dropped') THEN failed_filters
 SQL["recent_decisions"] = f"""{_TURN_RESULTS}
 SELECT conv_id, turn, log_type AS type, decision, {_FAILED_OR_NONE} AS failed_filters FROM results
 WHERE stage <> 'no_prompt' ORDER BY conv_id DESC, turn DESC LIMIT 500"""
+SQL["recent_stats"] = f"""{_TURN_RESULTS}
+SELECT {_COUNTS} FROM (SELECT decision FROM results WHERE stage <> 'no_prompt' ORDER BY conv_id DESC, turn DESC LIMIT 500)"""
+SQL["error_payloads"] = f"""WITH {screened(_LAST, 'conv_id')}
+SELECT conv_id, status_code, '{{"error":{{"message":"' || CASE status_code WHEN 502 THEN 'Upstream LLM error: ' || content ELSE detail END
+       || '"}}}}' AS payload
+FROM results WHERE decision = 'ERROR'"""
 SQL["decision_filter"] = f"""{_TURN_RESULTS}
 SELECT conv_id, turn, log_type AS type, logged_response AS response FROM results WHERE decision = 'BLOCKED'"""
 
@@ -543,6 +556,18 @@ SELECT {_SLICE}, n, round(f1, 6) AS f1, round(roc_auc, 6) AS roc_auc, round(pr_a
        round(mean_ms, 6) AS mean_latency_ms, round(p95, 6) AS p95_latency_ms
 FROM confusion JOIN auc USING ({_SLICE}) JOIN latency USING ({_SLICE})"""
 
+_BOTH_ROWS = _GRADED_ROWS.replace(
+    "sliced AS (SELECT *, 'overall'", "again AS (SELECT * FROM scored UNION ALL SELECT * REPLACE ('both' AS tbl) FROM scored),\n"
+    "sliced AS (SELECT *, 'overall'"
+).replace("FROM scored\n  UNION", "FROM again\n  UNION").replace("'source', source FROM scored", "'source', source FROM again").replace(
+    "'lang', lang FROM scored", "'lang', lang FROM again"
+)
+SQL["rounded_report"] = f"""
+WITH {_BOTH_ROWS}, {_CONFUSION}, {_LATENCY}
+SELECT {_SLICE}, n, round(p, 4) AS precision, round(r, 4) AS recall, round((tp + tn)::DOUBLE / n, 4) AS accuracy,
+       round(mean_ms, 3) AS mean_latency_ms
+FROM confusion JOIN latency USING ({_SLICE})"""
+
 SQL["p95_rank"] = """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place,
            count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)

@@ -7,6 +7,7 @@ to BIGINT, so that another engine's rows can be compared with them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from textward.operators import models
 from textward.plans import evaluation, screening
 from textward.session import scratch_path, staged
 from textward.sources import batches, corpus, decision_log
-from textward.sources.reading import spread
+from textward.sources.reading import is_small, spread
 from textward.sources.catalogue import SourceSpec
 from textward.streaming import live
 
@@ -287,6 +288,13 @@ def clamp_threshold(spark, sf_dir):
     return v.select("vec_id", r6(score).alias("score"), scores.exceeds(score, 0.5).alias("blocked"))
 
 
+def toxicity_details(spark, sf_dir):
+    """The toxicity filter's lines, for given predictions and probabilities."""
+    known = table(spark, sf_dir, "labels")
+    r = E.toxicity_result("Toxicity", F.col("toxic"), (F.col("doc_id") % 1000) / 1000.0)
+    return known.select("doc_id", r.alias("r")).select("doc_id", "r.passed", r6("r.confidence").alias("confidence"), "r.detail")
+
+
 def truncated_inputs(spark, sf_dir):
     return docs(spark, sf_dir).select(
         "doc_id", E.is_truncated(T.word_count(F.col("text")), 512).alias("truncated")
@@ -482,6 +490,18 @@ def recent_decisions(spark, sf_dir):
     )
 
 
+def recent_stats(spark, sf_dir):
+    """Decision counts over the newest 500 entries."""
+    log = screening.log_entries(_screened_turns(spark, sf_dir)).drop("total_latency_ms")
+    return decision_log.recent_stats(log, ("conv_id", "turn"))
+
+
+def error_payloads(spark, sf_dir):
+    """What callers see of requests that end in an error."""
+    failed = screening.screen(screening.last_turns(turns(spark, sf_dir)), GUARDS).filter("decision = 'ERROR'")
+    return screening.payload(failed).select("conv_id", big("status_code").alias("status_code"), "payload")
+
+
 def decision_filter(spark, sf_dir):
     log = screening.log_entries(_screened_turns(spark, sf_dir))
     return decision_log.by_decision(log, "BLOCKED").select("conv_id", "turn", "type", "response")
@@ -666,6 +686,15 @@ def evaluation_report(spark, sf_dir):
     )
 
 
+def rounded_report(spark, sf_dir):
+    """The report as displayed, of the two tables together and each for itself."""
+    rows = staged(scored(spark, sf_dir), "scored")
+    both = rows.unionByName(rows.withColumn("tbl", F.lit("both")))
+    return evaluation.rounded_report(evaluation.evaluate(both)).select(
+        "tbl", "dimension", "value", big("n").alias("n"), "precision", "recall", "accuracy", "mean_latency_ms"
+    )
+
+
 def p95_rank(spark, sf_dir):
     e = events(spark, sf_dir)
     means = e.groupBy("event_type").agg(F.round(F.avg("cents"), 6).alias("mean_cents"))
@@ -754,6 +783,19 @@ def _finish(query) -> None:
     query.awaitTermination()
 
 
+@contextmanager
+def _state_for(spark, df: DataFrame):
+    """Fewer state partitions than the session's, while a stream over a small table runs."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if is_small(df):
+        spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_screening(spark, sf_dir):
     """Documents arriving as requests, screened into the decision log, read back."""
     arriving = _arriving_documents(spark, sf_dir)
@@ -777,7 +819,8 @@ def stream_pairs(spark, sf_dir):
     again = _stream(spark, sf_dir, "conversations").withColumn("ts", at)
     pairs = live.pair_turns(arriving.filter("role = 'user'"), again.filter("role = 'assistant'"))
     out = scratch_path(spark, "stream-pairs")
-    _finish(live.write_table(pairs.filter("response IS NOT NULL"), out, scratch_path(spark, "cp"), _ONCE))
+    with _state_for(spark, turns(spark, sf_dir)):
+        _finish(live.write_table(pairs.filter("response IS NOT NULL"), out, scratch_path(spark, "cp"), _ONCE))
     return spark.read.schema("conv_id bigint, turn bigint, ts timestamp, prompt string, response string").parquet(out).select(
         "conv_id", "turn", "prompt", "response"
     )
@@ -795,10 +838,11 @@ def stream_windows(spark, sf_dir):
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    _finish(
-        counts.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, "cp")).trigger(**_ONCE).start()
-    )
+    with _state_for(spark, table(spark, sf_dir, "events")):
+        _finish(
+            counts.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", scratch_path(spark, "cp")).trigger(**_ONCE).start()
+        )
     updates = spark.read.parquet(out)
     last = updates.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "mean_latency_ms"), "batch").alias("r"))
     start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
@@ -809,7 +853,8 @@ def stream_first_arrivals(spark, sf_dir):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 600)
     rows = live.first_arrivals(_stream(spark, sf_dir, "documents").withColumn("ts", at), within="1 day")
     out = scratch_path(spark, "stream-first")
-    _finish(live.write_table(rows.select("near_key"), out, scratch_path(spark, "cp"), _ONCE))
+    with _state_for(spark, table(spark, sf_dir, "documents")):
+        _finish(live.write_table(rows.select("near_key"), out, scratch_path(spark, "cp"), _ONCE))
     return spark.read.parquet(out)
 
 
@@ -823,15 +868,15 @@ _NAMES = [
     "normalize_ws", "clip_text", "injection_tags", "near_keys", "word_stats",
     "language_route", "route_vs_label_lang", "language_buckets", "history_language",
     "keyword_ensemble", "aggregate_score", "score_summary", "blocking_labels", "blocking_confidence",
-    "softmax_block", "clamp_threshold", "truncated_inputs", "external_classifier", "external_predictions",
+    "softmax_block", "clamp_threshold", "toxicity_details", "truncated_inputs", "external_classifier", "external_predictions",
     "resolve_labels", "resolve_lang", "filtered_source", "split_labels", "source_stats",
     "last_user_prompt", "screen_conversations", "screen_last_prompts", "screen_documents",
     "screen_without_output", "screening_scores", "decision_stats", "latency_stats", "blocked_by_freq",
-    "recent_decisions", "decision_filter", "score_band", "chat_messages", "chat_responses",
+    "recent_decisions", "recent_stats", "error_payloads", "decision_filter", "score_band", "chat_messages", "chat_responses",
     "batch_requests", "batch_screening",
     "dedupe_kept", "dedupe_rows", "dedupe_counts", "unseen_documents", "balance", "balance_stats",
     "split", "split_summary", "stratum_count", "training_order", "built_corpus",
-    "confusion_slices", "roc_auc", "pr_auc", "evaluation_report", "p95_rank", "threshold_sweep",
+    "confusion_slices", "roc_auc", "pr_auc", "evaluation_report", "rounded_report", "p95_rank", "threshold_sweep",
     "model_bake_off", "promotion_gate", "labelled_accuracy", "first_rows",
     "toxicity_model", "bundle_model", "embedding_head",
     "stream_screening", "stream_newest", "stream_pairs", "stream_windows", "stream_first_arrivals",
