@@ -45,7 +45,7 @@ Quota = Callable[[Column], Column]
 def cut_table(
     df: DataFrame, strata: Sequence[str], hash_column: str, quotas: dict[str, Quota]
 ) -> DataFrame:
-    """One row per (stratum, bucket) with ``cut_<quota>``, the last hash inside each quota.
+    """One row per stratum with ``cut_<quota>``, the last hash inside each quota.
 
     A quota maps a stratum's size to a number of rows. Its cut is null where that is 0 or less,
     and the stratum's last hash where it covers the whole stratum.
@@ -86,33 +86,45 @@ def cut_table(
     hits = ranked.select(*strata, "__h", "__rank", F.explode("__ends").alias("__end")).filter(
         F.col("__rank") == F.col("__end.row")
     )
-    per_stratum = hits.groupBy(*strata).agg(
+    ended = hits.groupBy(*strata).agg(
         *[F.max(F.when(F.col("__end.quota") == q, F.col("__h"))).alias(f"__cut_{q}") for q in quotas]
     )
-    # Back to one row per (stratum, bucket), the key on which rows are compared with their cuts.
-    whole = [
-        F.max(F.when(F.col(f"__k_{q}") >= F.col("__total"), F.col("__last"))).over(within).alias(f"__whole_{q}")
-        for q in quotas
-    ]
+    whole = counts.groupBy(*strata).agg(
+        *[F.max(F.when(F.col(f"__k_{q}") >= F.col("__total"), F.col("__last"))).alias(f"__whole_{q}") for q in quotas]
+    )
     cuts = (
-        counts.select(*strata, "__b", *whole)
-        .alias("b")
-        .join(per_stratum.alias("c"), _same("b", "c", strata), "left")
+        whole.alias("w")
+        .join(ended.alias("e"), _same("w", "e", strata), "left")
         .select(
-            *[F.col(f"b.{c}").alias(c) for c in [*strata, "__b"]],
-            *[F.coalesce(F.col(f"b.__whole_{q}"), F.col(f"c.__cut_{q}")).alias(f"cut_{q}") for q in quotas],
+            *[F.col(f"w.{c}").alias(c) for c in strata],
+            *[F.coalesce(F.col(f"w.__whole_{q}"), F.col(f"e.__cut_{q}")).alias(f"cut_{q}") for q in quotas],
         )
     )
     return staged(cuts, "cuts")
 
 
+MAX_BROADCAST_STRATA = 10_000
+
+
 def with_cuts(df: DataFrame, strata: Sequence[str], hash_column: str, cuts: DataFrame) -> DataFrame:
-    """The rows with the cuts of their stratum, joined by (stratum, bucket) so no key is hot."""
+    """The rows with the cuts of their stratum.
+
+    The number of strata is looked up first. Few of them (a few megabytes at most) are sent to
+    every task, so that no row moves. Otherwise the cuts are repeated for every hash bucket and
+    joined by (stratum, bucket), which spreads the rows of a hot stratum.
+    """
     names = [c for c in cuts.columns if c.startswith("cut_")]
+    if cuts.count() <= MAX_BROADCAST_STRATA:
+        rows, table, key = df, F.broadcast(cuts), list(strata)
+    else:
+        digits = BUCKET_HEX_DIGITS
+        numbers = F.sequence(F.lit(0), F.lit(16**digits - 1))
+        buckets = F.transform(numbers, lambda i: F.lpad(F.lower(F.hex(i)), digits, "0"))
+        rows = df.withColumn("__b", _bucket(hash_column))
+        table, key = cuts.withColumn("__b", F.explode(buckets)).hint("shuffle_hash"), [*strata, "__b"]
     return (
-        df.withColumn("__b", _bucket(hash_column))
-        .alias("r")
-        .join(cuts.alias("t"), _same("r", "t", [*strata, "__b"]))
+        rows.alias("r")
+        .join(table.alias("t"), _same("r", "t", key))
         .select(*[F.col(f"r.{c}").alias(c) for c in df.columns], *[F.col(f"t.{c}") for c in names])
     )
 
