@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -314,17 +314,23 @@ def token_offsets(vocabulary: Vocabulary, ids: list[int]) -> list[int]:
     return np.cumsum([0, *(len(vocabulary.bytes_of[i]) for i in ids)]).tolist()
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
-    """One vocabulary per worker process, so that its cache outlives a task."""
-    if shared.id not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[shared.id] = Vocabulary(shared.value)
-    return _VOCABULARIES[shared.id]
+def _share(df: DataFrame, path: str) -> Callable[[], Vocabulary]:
+    """What gives a task the vocabulary of a file: read here, broadcast (a file of bounded size), and
+    built once per worker process, so that its cache outlives a task."""
+    ranks = load_ranks(path)
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
+    def vocabulary() -> Vocabulary:
+        if name not in _VOCABULARIES:
+            _VOCABULARIES.clear()
+            _VOCABULARIES[name] = Vocabulary(shared.value)
+        return _VOCABULARIES[name]
 
+    return vocabulary
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -372,7 +378,7 @@ def _digested(vocabulary: Vocabulary, texts: list[str]) -> list[list]:
 
 
 def _apply(docs: DataFrame, path: str, text: str, kinds: dict[str, str], work) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    shared = _share(docs, path)
     kept = [c for c in docs.columns if c not in kinds]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType(
@@ -383,7 +389,7 @@ def _apply(docs: DataFrame, path: str, text: str, kinds: dict[str, str], work) -
     arrow = {"array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "long": pa.int64(), "string": pa.string()}
 
     def run(batches):
-        vocabulary = _vocabulary(shared)
+        vocabulary = shared()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             columns = [[] for _ in kinds]
@@ -398,11 +404,11 @@ def _apply(docs: DataFrame, path: str, text: str, kinds: dict[str, str], work) -
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """Encoded documents with ``decoded`` (binary), the bytes that the ids stand for; null for null."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
+    shared = _share(encoded, path)
 
     @F.pandas_udf("binary")
     def back(column):
-        vocabulary = _vocabulary(shared)
+        vocabulary = shared()
         return column.map(lambda found: None if found is None else vocabulary.decode(found))
 
     return encoded.withColumn("decoded", back(F.col(ids)))
