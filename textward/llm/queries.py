@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, mixing
+from textward.llm import bpe, mixing, simhash
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return only(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+# ---- 1, SimHash ---------------------------------------------------------------------------------
+
+
+def op1_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    grouped = simhash.groups(simhash.fingerprints(docs, shingle=3), radius=2)
+    return grouped.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 # ---- 2, mixing ----------------------------------------------------------------------------------
 
 
@@ -89,6 +102,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }
