@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, mixing, simhash
+from textward.llm import bpe, mixing, neighbours, simhash
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -92,6 +92,31 @@ FROM o
 """
 
 
+# ---- 4, nearest neighbours ----------------------------------------------------------------------
+
+
+def op4_neighbours(spark, sf_dir):
+    vectors = staged(neighbours.usable(table(spark, sf_dir, "embeddings", "vec_id", "embedding")), "vectors")
+    return neighbours.nearest(vectors, F.col("id") % 20 == 0, k=20)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, min(embedding::DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
+    AND len([e FOR e IN embedding IF e <> 0]) > 0
+  GROUP BY vec_id
+), p AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.id <> c.id AND len(q.x) = len(c.x) WHERE q.id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 # ---- 10, byte-level BPE -------------------------------------------------------------------------
 
 
@@ -104,9 +129,11 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op4_neighbours": op4_neighbours,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
     "op2_mixing": OP2_SQL,
+    "op4_neighbours": OP4_SQL,
 }
