@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, mixing, neighbours, simhash
+from textward.llm import bpe, mixing, neighbours, rules, simhash
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -117,6 +117,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+# ---- 5, quality rules ---------------------------------------------------------------------------
+
+
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    judged, _ = rules.judge(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 # ---- 10, byte-level BPE -------------------------------------------------------------------------
 
 
@@ -130,6 +141,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op4_neighbours": op4_neighbours,
+    "op5_quality_rules": op5_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
