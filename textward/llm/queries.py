@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, mixing, neighbours, rules, simhash
+from textward.llm import bpe, hmm, mixing, neighbours, rules, simhash
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -92,6 +92,15 @@ FROM o
 """
 
 
+# ---- 3, LM scoring ------------------------------------------------------------------------------
+
+
+def op3_hmm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    return hmm.score(docs, fold == 2)
+
+
 # ---- 4, nearest neighbours ----------------------------------------------------------------------
 
 
@@ -140,6 +149,7 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op3_hmm": op3_hmm,
     "op4_neighbours": op4_neighbours,
     "op5_quality_rules": op5_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
