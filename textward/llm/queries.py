@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, hmm, mixing, neighbours, rules, simhash
+from textward.llm import bpe, hmm, lines, mixing, neighbours, rules, simhash
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -137,6 +137,14 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
+# ---- 6, line dedup ------------------------------------------------------------------------------
+
+
+def op6_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lines.deduplicate(docs).select("doc_id", "text", "n_lines", "n_dropped_lines")
+
+
 # ---- 10, byte-level BPE -------------------------------------------------------------------------
 
 
@@ -152,6 +160,7 @@ QUERIES = {
     "op3_hmm": op3_hmm,
     "op4_neighbours": op4_neighbours,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
