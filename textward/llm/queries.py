@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, hmm, lines, mixing, neighbours, rules, simhash
+from textward.llm import bpe, hmm, langid, lines, mixing, neighbours, rules, shards, simhash
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -145,6 +145,25 @@ def op6_line_dedup(spark, sf_dir):
     return lines.deduplicate(docs).select("doc_id", "text", "n_lines", "n_dropped_lines")
 
 
+# ---- 8, sharding --------------------------------------------------------------------------------
+
+SHARDS = [f"shard-{i:03d}" for i in range(256)]
+
+
+def op8_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "source")
+    return shards.place(docs, SHARDS).select("doc_id", "slot", "shard")
+
+
+# ---- 9, language of pages -----------------------------------------------------------------------
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.identify(
+        table(spark, sf_dir, "pages", "page_id", "url", "html"), table(spark, sf_dir, "documents", "text", "lang")
+    )
+
+
 # ---- 10, byte-level BPE -------------------------------------------------------------------------
 
 
@@ -161,6 +180,8 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op8_sharding": op8_sharding,
+    "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
