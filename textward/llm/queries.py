@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, hmm, langid, lines, mixing, neighbours, rules, shards, simhash
+from textward.llm import bpe, hmm, langid, lines, mixing, neighbours, rules, shards, simhash, toolcalls
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -145,6 +145,67 @@ def op6_line_dedup(spark, sf_dir):
     return lines.deduplicate(docs).select("doc_id", "text", "n_lines", "n_dropped_lines")
 
 
+# ---- 7, tool calls ------------------------------------------------------------------------------
+
+# The tools that a user's turn is read as a call of.
+SCHEMAS: toolcalls.Schemas = {
+    "open": {"text": toolcalls.Argument("string", least=1, most=600), "words": toolcalls.Argument("integer", least=1)},
+    "ask": {
+        "text": toolcalls.Argument("string", least=1, most=600),
+        "words": toolcalls.Argument("integer", least=1, most=80),
+        "turn": toolcalls.Argument("integer", required=False, most=6),
+    },
+}
+
+
+def op7_tool_calls(spark, sf_dir):
+    """User turns as calls of a tool that the assistant's next turn answers; a call follows the one two
+    turns before it."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    name = F.when(F.col("turn") < 2, "open").otherwise("ask")
+    arguments = F.to_json(F.struct(
+        F.when(F.col("turn") >= 2, F.col("turn")).alias("turn"), F.col("text"), word_count(F.col("text")).alias("words")
+    ))
+    call = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", call(F.col("turn")).alias("call_id"), call(F.col("turn") - 2).alias("after"), name.alias("name"),
+        arguments.alias("arguments"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", call(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
+    )
+    return toolcalls.link(calls, results, SCHEMAS)
+
+
+OP7_SQL = r"""
+WITH u AS (
+  SELECT conv_id, 'call_' || turn AS call_id, turn, text, len(regexp_extract_all(text, '[^ 	-]+')) AS words, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' GROUP BY conv_id, turn, text
+), i AS (
+  SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM u
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM i
+), e AS (
+  SELECT *, array_to_string(list_filter([
+      CASE WHEN len(text) < 1 THEN 'text is below 1' WHEN len(text) > 600 THEN 'text is above 600' END,
+      CASE WHEN turn > 6 THEN 'turn is above 6' END,
+      CASE WHEN words < 1 THEN 'words is below 1' WHEN words > 80 AND turn >= 2 THEN 'words is above 80' END
+    ], lambda x: x IS NOT NULL), '; ') AS errors,
+    CASE WHEN turn < 2 THEN json_object('text', text, 'words', words) ELSE json_object('text', text, 'turn', turn, 'words', words) END AS arguments
+  FROM c
+), r AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL
+)
+SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, e.depth,
+       CASE WHEN e.conv_id IS NULL THEN 'no_call' WHEN errors <> '' THEN 'invalid' WHEN r.conv_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+       e.errors, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results,
+       json_object('arguments', arguments, 'call_id', coalesce(e.call_id, r.call_id), 'conv_id', coalesce(e.conv_id, r.conv_id),
+                   'depth', depth, 'name', CASE WHEN e.conv_id IS NULL THEN NULL WHEN turn < 2 THEN 'open' ELSE 'ask' END, 'result', content)::VARCHAR AS message
+FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id
+"""
+
+
 # ---- 8, sharding --------------------------------------------------------------------------------
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
@@ -180,6 +241,7 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_tool_calls": op7_tool_calls,
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
@@ -188,4 +250,5 @@ QUERIES = {
 ORACLE = {
     "op2_mixing": OP2_SQL,
     "op4_neighbours": OP4_SQL,
+    "op7_tool_calls": OP7_SQL,
 }
