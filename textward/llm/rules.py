@@ -246,10 +246,15 @@ def judge(docs: DataFrame, labels: DataFrame, learner: Learner | None = None, id
     rules are not kept whatever the list says, and the list is learned from labelled ones that do
     not fail. Null texts have no words and fail. Labels of unknown ids, null labels and null ids
     teach nothing; a repeated label counts as often. An empty table of documents gives an empty
-    result, an empty table of labels an empty list. The texts are dropped; each is read once.
+    result, an empty table of labels an empty list. Columns named as a statistic are replaced.
+
+    At most ``learner.sample`` labels are drawn, which bounds what is broadcast to find their texts;
+    the list then goes over all documents in one pass, without a shuffle.
     """
-    measured = staged(statistics(docs).drop("text").withColumn("base_failed", base_failed()), "statistics")
+    learner = learner or Learner()
     known = labels.select(F.col(id), (1 - F.col("quality").cast("int")).alias("bad")).where("bad is not null")
-    made = (learner or Learner()).learn(measured.where(~F.col("base_failed")).join(known, id), id=id)
-    judged = measured.withColumn("rule", made.rule())
+    drawn = staged(known.withColumn("_u", uniform(F.col(id), learner.seed)).orderBy("_u", "bad").limit(learner.sample).drop("_u"), "drawn")
+    narrow = docs.select(F.col(f"`{id}`").alias(id), "text")
+    made = learner.learn(statistics(narrow.join(F.broadcast(drawn), id)).where(~base_failed()), id=id)
+    judged = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", made.rule())
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), made
