@@ -9,10 +9,13 @@ from textward.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "textward-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"},
+        **{
+            "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -1,9 +1,9 @@
-"""Deduplication, balancing and splitting against the loops they stand for."""
+"""What deduplication, balancing and splitting promise, on random corpora."""
 
 import hashlib
 import json
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,36 +14,40 @@ from textward.sources import corpus, sinks
 from textward.sources.catalogue import SourceSpec, catalogue_table, read_catalogue, read_source
 
 
-def near_key(text):
-    return hashlib.sha256(text[:300].lower().strip().encode()).hexdigest()
+def folded(text):
+    return text.lower().strip()
 
 
-def dedupe_loop(rows):
-    exact, near, kept, n_exact, n_near = set(), set(), [], 0, 0
-    for pos, text in rows:
-        if text in exact:
-            n_exact += 1
-        elif near_key(text) in near:
-            n_near += 1
-        else:
-            exact.add(text)
-            near.add(near_key(text))
-            kept.append(pos)
-    return kept, n_exact, n_near
+def first_of_each(rows):
+    """The smallest position of each folded text, and its text."""
+    first = {}
+    for pos, text in sorted(rows, reverse=True):
+        first[folded(text)] = (pos, text)
+    return first
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_dedupe_is_the_loop(spark, seed):
+def test_one_row_of_each_key_stays(spark, seed):
     rng = random.Random(seed)
     bases = ["a" * 300, "b" * 310, "Hello", " hello ", "HELLO", "x y", "", " ", "é", "É"]
     rows = [(i, rng.choice(bases) + rng.choice(["", "", "1", " tail"])) for i in range(800)]
     rng.shuffle(rows)
-    kept, n_exact, n_near = dedupe_loop(sorted(rows))
+    first = first_of_each(rows)
     df = spark.createDataFrame(rows, "pos long, text string").repartition(8)
+    kept = sorted(pos for pos, _ in first.values())
     assert sorted(r["pos"] for r in dedupe.keep_first(df).collect()) == kept
     assert sorted(r["pos"] for r in dedupe.kept_positions(df).collect()) == kept
     c = dedupe.collision_counts(df).first()
-    assert (c["rows_before"], c["rows_after"], c["exact_collisions"], c["near_dup_collisions"]) == (800, len(kept), n_exact, n_near)
+    assert (c["rows_before"], c["rows_after"]) == (800, len(kept))
+    assert c["exact_collisions"] + c["near_dup_collisions"] == 800 - len(kept)
+    # A collision is exact when the row that stays has the very same text.
+    assert c["exact_collisions"] == sum(text == first[folded(text)][1] for _, text in rows) - len(kept)
+
+
+def test_texts_that_differ_after_300_characters_stay(spark):
+    rows = [(0, "a" * 301 + "x"), (1, "a" * 301 + "y")]
+    df = spark.createDataFrame(rows, "pos long, text string")
+    assert dedupe.keep_first(df).count() == 2 and dedupe.keep_first(df, prefix_chars=300).count() == 1
 
 
 def test_near_copy_before_its_exact_copy(spark):
@@ -68,37 +72,6 @@ def hash_of(seed, pos):
     return hashlib.sha256(f"{seed}|{pos}".encode()).hexdigest()
 
 
-def balance_loop(rows, ratio, seed):
-    pos = [r for r in rows if r[1] == 1]
-    neg = [r for r in rows if r[1] == 0]
-    if not pos or not neg:
-        return sorted(r[0] for r in rows)
-    desired = int(round(len(pos) * (1.0 - ratio) / ratio))
-    if len(neg) <= desired:
-        return sorted(r[0] for r in pos + neg)
-    strata = defaultdict(list)
-    for r in neg:
-        strata[(r[2], r[3])].append(r[0])
-    kept = []
-    for items in strata.values():
-        n = min(max(1, int(round(desired * (len(items) / len(neg))))), len(items))
-        kept += sorted(items, key=lambda p: hash_of(seed, p))[:n]
-    kept = sorted(kept, key=lambda p: hash_of(seed, p))[:desired]
-    return sorted([r[0] for r in pos] + kept)
-
-
-def split_loop(rows, seed):
-    strata, out = defaultdict(list), {}
-    for r in rows:
-        strata[(r[2], r[1])].append(r[0])
-    for items in strata.values():
-        items.sort(key=lambda p: hash_of(f"{seed}-split", p))
-        a, b = int(round(len(items) * 0.8)), int(round(len(items) * 0.1))
-        for i, p in enumerate(items):
-            out[p] = "train" if i < a else "val" if i < a + b else "test"
-    return out
-
-
 def make_rows(n, seed, positive=0.2, labels=(0, 1)):
     rng = random.Random(seed)
     rows = []
@@ -117,10 +90,26 @@ SCHEMA = "pos long, label int, source string, lang string"
 
 
 @pytest.mark.parametrize("n,positive,ratio", [(3000, 0.2, 0.6), (500, 0.1, 0.3), (300, 0.05, 0.9), (400, 0.9, 0.6)])
-def test_balance_is_the_loop(spark, n, positive, ratio):
+def test_balance(spark, n, positive, ratio):
     rows = make_rows(n, n, positive, labels=(0, 1, 2))
-    got = sampling.balance(spark.createDataFrame(rows, SCHEMA), ratio)
-    assert sorted(r["pos"] for r in got.collect()) == balance_loop(rows, ratio, 7)
+    kept = {r["pos"] for r in sampling.balance(spark.createDataFrame(rows, SCHEMA), ratio).collect()}
+    positives = {p for p, label, *_ in rows if label == 1}
+    negatives = {p: (source, lang) for p, label, source, lang in rows if label == 0}
+    assert positives <= kept <= positives | set(negatives)
+    wanted = sampling.desired_negatives(len(positives), ratio)
+    left = kept - positives
+    if len(negatives) <= wanted:
+        assert left == set(negatives)
+        return
+    # Each stratum may give its share, smallest hashes first; together they give what is wanted,
+    # and what is left out of the shares has larger hashes than all that stayed.
+    offered = set()
+    for stratum in set(negatives.values()):
+        members = sorted((p for p in negatives if negatives[p] == stratum), key=lambda p: hash_of(7, p))
+        share = round(wanted * len(members) / len(negatives))
+        offered |= set(members[: max(share, 1)])
+    assert left <= offered and len(left) == min(wanted, len(offered))
+    assert max(map(lambda p: hash_of(7, p), left)) < min((hash_of(7, p) for p in offered - left), default="~")
 
 
 def test_balance_with_one_class_changes_nothing(spark):
@@ -134,12 +123,21 @@ def test_balance_with_one_class_changes_nothing(spark):
             sampling.balance(df, bad)
 
 
-@pytest.mark.parametrize("n,few", [(1, 10_000), (40, 10_000), (2500, 10_000), (2500, 0)])
-def test_split_is_the_loop(spark, monkeypatch, n, few):
-    monkeypatch.setattr(sampling, "MAX_BROADCAST_STRATA", few)
+@pytest.mark.parametrize("n", [1, 40, 2500])
+def test_split(spark, n):
     rows = make_rows(n, n)
     got = {r["pos"]: r["split"] for r in sampling.split(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == split_loop(rows, 7)
+    assert set(got) == {r[0] for r in rows}
+    for stratum in {(r[2], r[1]) for r in rows}:
+        hashes = {"train": [], "val": [], "test": []}
+        for pos, label, source, _ in rows:
+            if (source, label) == stratum:
+                hashes[got[pos]].append(hash_of("7-split", pos))
+        size = sum(map(len, hashes.values()))
+        assert len(hashes["train"]) == round(0.8 * size)
+        assert len(hashes["val"]) == min(round(0.1 * size), size - len(hashes["train"]))
+        assert max(hashes["train"], default="") < min(hashes["val"] + hashes["test"], default="~")
+        assert max(hashes["val"], default="") < min(hashes["test"], default="~")
 
 
 def test_small_strata_split_counts(spark):
@@ -163,14 +161,7 @@ def test_no_window_over_a_whole_stratum(spark):
     """Rows are ranked inside (stratum, bucket), never inside a stratum."""
     rows = make_rows(200, 9)
     plan = sampling.split(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
-    assert "row_number" not in plan and "BroadcastHashJoin" in plan
-
-
-def test_many_strata_are_joined_by_bucket(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "MAX_BROADCAST_STRATA", 0)
-    rows = make_rows(200, 9)
-    plan = sampling.split(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
-    assert "ShuffledHashJoin" in plan and "__b" in plan
+    assert "row_number" not in plan
 
 
 # ---- sources ------------------------------------------------------------------------------------
@@ -242,9 +233,9 @@ def test_whole_build(spark, corpora, tmp_path):
     pool = manifest["training_pool"]
     labelled = corpus_build.training_rows(spark, catalogue.training)
     kept = corpus.corpus_rows(labelled).select("pos", "text", "label").orderBy("pos").collect()
-    positions, n_exact, n_near = dedupe_loop([(i, r["text"]) for i, r in enumerate(kept)])
+    positions = sorted(pos for pos, _ in first_of_each([(i, r["text"]) for i, r in enumerate(kept)]).values())
     assert pool["pre_dedup_total"] == len(kept) and pool["post_dedup_total"] == len(positions)
-    assert pool["dedup"] == {"exact_collisions": n_exact, "near_dup_collisions": n_near} == {"exact_collisions": 5, "near_dup_collisions": 1}
+    assert pool["dedup"] == {"exact_collisions": 5, "near_dup_collisions": 1}
     positives = sum(kept[i]["label"] == 1 for i in positions)
     assert pool["balance"]["kept_pos"] == positives
     assert pool["balance"]["kept_neg"] == pool["balance"]["desired_neg"] == sampling.desired_negatives(positives, 0.6)

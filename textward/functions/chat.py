@@ -13,10 +13,7 @@ RESPONSE = (
     "usage:struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>>"
 )
 
-# Limits of a prompt batch.
-MAX_BATCH_SIZE = 1000
 DEFAULT_CONCURRENCY = 20
-MAX_CONCURRENCY = 100
 
 
 def last_user_prompt(messages: Column) -> Column:
@@ -84,10 +81,13 @@ def batch_error(
     model: Column,
     system_message: Column,
     concurrency: Column,
-    max_prompts: int = MAX_BATCH_SIZE,
+    max_prompts: int | None = None,
 ) -> Column:
     """The message of the first check a batch request fails, null when it passes all.
 
+    A batch may have any number of prompts unless ``max_prompts`` is given. The concurrency is only
+    checked to be a positive number: how much runs at once is up to the cluster.
+
     Arguments are the request's JSON values, each as JSON text (null when the key is absent).
     """
     items = F.from_json(F.when(prompts.startswith("["), prompts), "array<string>")
@@ -102,9 +102,11 @@ def batch_error(
     # A JSON true counts as the integer 1.
     count = F.when(concurrency == "true", F.lit(1).cast("decimal(38,0)")).otherwise(count)
     no_prompts = F.coalesce(F.size(items) < 1, F.lit(True)) | items.isNull()
+    too_many = F.lit(False) if max_prompts is None else F.size(items) > max_prompts
+    # The messages.
     return (
         F.when(no_prompts, "`prompts` must be a non-empty array of strings.")
-        .when(F.size(items) > max_prompts, f"Batch requests are limited to {max_prompts} prompts.")
+        .when(too_many, f"Batch requests are limited to {max_prompts} prompts.")
         .when(
             model.isNotNull()
             & ~F.coalesce(is_string(model) & (F.trim(model_text) != ""), F.lit(False)),
@@ -119,5 +121,4 @@ def batch_error(
             concurrency.isNotNull() & ~F.coalesce(count >= 1, F.lit(False)),
             "`concurrency` must be an integer greater than 0.",
         )
-        .when(count > MAX_CONCURRENCY, f"`concurrency` must not exceed {MAX_CONCURRENCY}.")
     )

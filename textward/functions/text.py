@@ -53,14 +53,16 @@ def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"(?U)[{SPACE}]+", " "))
 
 
-def clip(text: Column, max_chars: int) -> Column:
-    """Strip, then keep the first ``max_chars`` code points (not stripped again)."""
-    return F.substring(strip(text), 1, max_chars)
+def clip(text: Column, max_chars: int | None = None) -> Column:
+    """The stripped text; if asked, its first ``max_chars`` code points (not stripped again)."""
+    whole = strip(text)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
-def near_duplicate_key(text: Column, prefix_chars: int = 300) -> Column:
-    """SHA-256 of the lower-cased, stripped first ``prefix_chars`` code points."""
-    return F.sha2(_strip_short(F.lower(F.substring(text, 1, prefix_chars))), 256)
+def near_duplicate_key(text: Column, prefix_chars: int | None = None) -> Column:
+    """SHA-256 of the lower-cased, stripped text; if asked, of its first ``prefix_chars`` code points."""
+    part = text if prefix_chars is None else F.substring(text, 1, prefix_chars)
+    return F.sha2(strip(F.lower(part)), 256)
 
 
 def latin_letter_count(text: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Looking at rows one by one in order, a row is dropped when its text or its key was kept before.
 Equal texts have equal keys and only kept rows count as seen, so exactly the first row of each
-key is kept; no order-dependent loop is needed.
+key is kept; no order-dependent loop is needed. The key covers the whole text unless a number of
+characters is given.
 """
 
 from __future__ import annotations
@@ -13,25 +14,25 @@ from pyspark.sql import functions as F
 from textward.functions.text import near_duplicate_key
 
 
-def _keyed(df: DataFrame, text: str, order: str) -> DataFrame:
+def _keyed(df: DataFrame, text: str, order: str, prefix_chars: int | None) -> DataFrame:
     return df.select(
         F.col(order).alias("pos"),
-        near_duplicate_key(F.col(text)).alias("near_key"),
+        near_duplicate_key(F.col(text), prefix_chars).alias("near_key"),
         F.sha2(F.col(text), 256).alias("text_hash"),
     )
 
 
-def kept_positions(df: DataFrame, text: str = "text", order: str = "pos") -> DataFrame:
+def kept_positions(df: DataFrame, text: str = "text", order: str = "pos", prefix_chars: int | None = None) -> DataFrame:
     """One column, the order value of every kept row.
 
     Only key and order value are shuffled, after a hash aggregation on the map side, so copies
     of one text cost one row per task however many there are.
     """
-    keys = df.select(F.col(order).alias(order), near_duplicate_key(F.col(text)).alias("near_key"))
+    keys = df.select(F.col(order).alias(order), near_duplicate_key(F.col(text), prefix_chars).alias("near_key"))
     return keys.groupBy("near_key").agg(F.min(order).alias(order)).select(order)
 
 
-def keep_first(df: DataFrame, text: str = "text", order: str = "pos") -> DataFrame:
+def keep_first(df: DataFrame, text: str = "text", order: str = "pos", prefix_chars: int | None = None) -> DataFrame:
     """The kept rows whole.
 
     ``row_number() = 1`` lets Spark cut each task's rows to one per key before the shuffle, so a
@@ -39,21 +40,21 @@ def keep_first(df: DataFrame, text: str = "text", order: str = "pos") -> DataFra
     """
     first = Window.partitionBy("__near_key").orderBy(order)
     return (
-        df.withColumn("__near_key", near_duplicate_key(F.col(text)))
+        df.withColumn("__near_key", near_duplicate_key(F.col(text), prefix_chars))
         .withColumn("__rank", F.row_number().over(first))
         .filter(F.col("__rank") == 1)
         .drop("__near_key", "__rank")
     )
 
 
-def collision_counts(df: DataFrame, text: str = "text", order: str = "pos") -> DataFrame:
+def collision_counts(df: DataFrame, text: str = "text", order: str = "pos", prefix_chars: int | None = None) -> DataFrame:
     """One row: rows before and after, exact and near collisions.
 
     Exact: dropped rows whose text is the kept one's. Near: the other dropped rows. Counted from
     (key, text) groups, whose sizes are combined on the map side.
     """
     per_text = (
-        _keyed(df, text, order)
+        _keyed(df, text, order, prefix_chars)
         .groupBy("near_key", "text_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     )
@@ -76,5 +77,3 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 def seen_before(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_semi")
-
-

@@ -103,28 +103,16 @@ def cut_table(
     return staged(cuts, "cuts")
 
 
-MAX_BROADCAST_STRATA = 10_000
-
-
-def with_cuts(df: DataFrame, strata: Sequence[str], hash_column: str, cuts: DataFrame) -> DataFrame:
+def with_cuts(df: DataFrame, strata: Sequence[str], cuts: DataFrame) -> DataFrame:
     """The rows with the cuts of their stratum.
 
-    The number of strata is looked up first. Few of them (a few megabytes at most) are sent to
-    every task, so that no row moves. Otherwise the cuts are repeated for every hash bucket and
-    joined by (stratum, bucket), which spreads the rows of a hot stratum.
+    The cuts, one row per stratum, have been written, so the planner knows their size: it sends few
+    of them to every task and joins many by stratum, where a hot stratum's rows are split as skew.
     """
     names = [c for c in cuts.columns if c.startswith("cut_")]
-    if cuts.count() <= MAX_BROADCAST_STRATA:
-        rows, table, key = df, F.broadcast(cuts), list(strata)
-    else:
-        digits = BUCKET_HEX_DIGITS
-        numbers = F.sequence(F.lit(0), F.lit(16**digits - 1))
-        buckets = F.transform(numbers, lambda i: F.lpad(F.lower(F.hex(i)), digits, "0"))
-        rows = df.withColumn("__b", _bucket(hash_column))
-        table, key = cuts.withColumn("__b", F.explode(buckets)).hint("shuffle_hash"), [*strata, "__b"]
     return (
-        rows.alias("r")
-        .join(table.alias("t"), _same("r", "t", key))
+        df.alias("r")
+        .join(cuts.alias("t"), _same("r", "t", strata))
         .select(*[F.col(f"r.{c}").alias(c) for c in df.columns], *[F.col(f"t.{c}") for c in names])
     )
 
@@ -192,7 +180,7 @@ def balance(
     strata = ["source", "lang"]
     negatives = df.filter(label == 0).withColumn("__hash", seeded_hash(seed, order))
     shares = cut_table(negatives, strata, "__hash", {"share": share})
-    drawn = with_cuts(negatives.select(*strata, "__hash"), strata, "__hash", shares).filter(
+    drawn = with_cuts(negatives.select(*strata, "__hash"), strata, shares).filter(
         F.col("__hash") <= F.col("cut_share")
     )
     # The last hash among the wanted number of drawn rows: one value for the whole job.
@@ -206,7 +194,7 @@ def balance(
         .agg(F.max("cut_total"))
         .first()[0]
     )
-    kept = with_cuts(negatives, strata, "__hash", shares).filter(
+    kept = with_cuts(negatives, strata, shares).filter(
         F.col("__hash") <= F.least(F.col("cut_share"), F.lit(last))
     )
     return df.filter(label == 1).union(kept.select(*df.columns))
@@ -252,7 +240,7 @@ def split(
     val_n = lambda n: F.bround(n.cast("double") * ratios[1]).cast("bigint")
     hashed = df.withColumn("__hash", seeded_hash(f"{seed}-split", order))
     quotas = {"train": train_n, "val": lambda n: F.least(n, train_n(n) + val_n(n))}
-    cut = with_cuts(hashed, strata, "__hash", cut_table(hashed, strata, "__hash", quotas))
+    cut = with_cuts(hashed, strata, cut_table(hashed, strata, "__hash", quotas))
     return cut.withColumn(
         "split",
         F.when(F.col("__hash") <= F.col("cut_train"), "train")

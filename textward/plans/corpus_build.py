@@ -18,7 +18,7 @@ def labelled_source(
     spark: SparkSession,
     spec: SourceSpec,
     priority: int,
-    max_text_chars: int = corpus.MAX_TEXT_CHARS,
+    max_text_chars: int | None = None,
     splits: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     raw = read_source(spark, spec, splits)
@@ -28,7 +28,7 @@ def labelled_source(
 def training_rows(
     spark: SparkSession,
     specs: Sequence[SourceSpec],
-    max_text_chars: int = corpus.MAX_TEXT_CHARS,
+    max_text_chars: int | None = None,
     splits: dict[str, dict[str, DataFrame]] | None = None,
 ) -> DataFrame:
     """All training sources, in catalogue order, with skipped rows marked."""
@@ -45,7 +45,7 @@ def build(
     catalogue: Catalogue,
     out: str,
     target_ratio: float = 0.6,
-    max_text_chars: int = corpus.MAX_TEXT_CHARS,
+    max_text_chars: int | None = None,
     seed: int = 7,
     splits: dict[str, dict[str, DataFrame]] | None = None,
 ) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.functions.chat import DEFAULT_CONCURRENCY, MAX_BATCH_SIZE, batch_error, build_messages
+from textward.functions.chat import DEFAULT_CONCURRENCY, batch_error, build_messages
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +16,7 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked_requests(
-    requests: DataFrame, default_model: str = "default", max_prompts: int = MAX_BATCH_SIZE
+    requests: DataFrame, default_model: str = "default", max_prompts: int | None = None
 ) -> DataFrame:
     """Adds ``prompts``, ``model``, ``system_message``, ``concurrency`` and ``error``.
 
@@ -43,9 +43,9 @@ def checked_requests(
         F.from_json(F.when(F.col("error").isNull(), F.col("__raw.prompts")), "array<string>").alias("prompts"),
         F.coalesce(F.col("__raw.model"), F.lit(default_model)).alias("model"),
         F.col("__raw.system_message").alias("system_message"),
-        F.coalesce(F.col("__raw.concurrency").try_cast("int"), F.lit(DEFAULT_CONCURRENCY)).alias("__c"),
+        F.coalesce(F.col("__raw.concurrency").try_cast("decimal(38,0)"), F.lit(DEFAULT_CONCURRENCY)).alias("__c"),
     )
-    return sound.withColumn("concurrency", F.when(F.col("prompts").isNotNull(), F.least(F.col("__c"), F.size("prompts")))).drop("__c")
+    return sound.withColumn("concurrency", F.when(F.col("prompts").isNotNull(), F.least(F.col("__c"), F.size("prompts")).cast("int"))).drop("__c")
 
 
 def prompt_rows(checked: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from textward.functions.labels import resolve_label, resolve_language
 from textward.functions.text import clip, is_blank
 from textward.sources.catalogue import FILE, FORCED, ROW, SourceSpec
 
-MAX_TEXT_CHARS = 10000
 CORPUS_COLUMNS = ["pos", "text", "label", "source", "lang", "length"]
 
 
@@ -43,11 +42,12 @@ def label_rows(
     df: DataFrame,
     spec: SourceSpec,
     order: Column,
-    max_text_chars: int = MAX_TEXT_CHARS,
+    max_text_chars: int | None = None,
 ) -> DataFrame:
     """Every row left by the filter, as corpus columns plus ``kept``.
 
-    A row is skipped when its text is not a string or is blank, or when it has no label.
+    A row is skipped when its text is not a string or is blank, or when it has no label. Texts stay
+    whole unless ``max_text_chars`` is given.
     """
     df = apply_filter(df, spec)
     fields = {f.name: f.dataType for f in df.schema.fields}

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from textward.operators.summaries import decision_counts
 
-# Sizes of the newest-entries view.
-MAX_ENTRIES = 500
 DEFAULT_ENTRIES = 50
 
 LOG_COLUMNS = [
@@ -42,8 +40,8 @@ def read(spark: SparkSession, path: str, since_day: str | None = None) -> DataFr
 
 def newest(log: DataFrame, limit: int = DEFAULT_ENTRIES, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """The newest entries, newest first: a top-k, each task keeping at most ``limit`` rows."""
-    if not 1 <= limit <= MAX_ENTRIES:
-        raise ValueError(f"`limit` must be between 1 and {MAX_ENTRIES}.")
+    if limit < 1:
+        raise ValueError("`limit` must be at least 1.")
     return log.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
 
 
@@ -51,6 +49,6 @@ def by_decision(log: DataFrame, decision: str = "ALL") -> DataFrame:
     return log if decision == "ALL" else log.filter(F.col("decision") == decision)
 
 
-def recent_stats(log: DataFrame, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
-    """Decision counts over the bounded log, as its readers see it."""
-    return decision_counts(newest(log, MAX_ENTRIES, order))
+def recent_stats(log: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
+    """Decision counts over the log; if asked, over its newest ``limit`` entries."""
+    return decision_counts(log if limit is None else newest(log, limit, order))

@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# A table below this many bytes is often one row group, which is one task however many cores.
-SMALL_BYTES = 256 << 20
+PARTITIONS = "spark.textward.read.partitions"
 
 
-def is_small(df: DataFrame, small_bytes: int = SMALL_BYTES) -> bool:
-    """Whether the planner, going by the files, takes the table for a small one."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < small_bytes
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """The table hashed by a unique key over so many tasks; without a number, as its files are.
 
-
-def spread(df: DataFrame, key: str, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """A small table hashed over all cores by a unique key; a larger one as it is.
-
-    Large tables come in enough splits, and shuffling them just to spread the work would cost
-    more than it gives.
+    A small table is often one row group, which is one task however many cores there are; whoever
+    runs such tables asks for more, by argument or by the setting ``spark.textward.read.partitions``.
     """
-    if not is_small(df, small_bytes):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    number = partitions or int(df.sparkSession.conf.get(PARTITIONS, None) or 0)
+    return df.repartition(number, key) if number else df

@@ -99,7 +99,8 @@ def decision_windows(
 
 
 def first_arrivals(
-    rows: DataFrame, ts: str = "ts", within: str = "1 hour", text: str = "text", salts: int = 16
+    rows: DataFrame, ts: str = "ts", within: str = "1 hour", text: str = "text", salts: int = 16,
+    prefix_chars: int | None = None,
 ) -> DataFrame:
     """Rows whose near-duplicate key has not arrived within the watermark.
 
@@ -110,7 +111,7 @@ def first_arrivals(
     salt = F.pmod(F.xxhash64(F.struct(*[F.col(c) for c in rows.columns])), F.lit(salts))
     keyed = (
         rows.withColumn("__salt", salt)
-        .withColumn("near_key", near_duplicate_key(F.col(text)))
+        .withColumn("near_key", near_duplicate_key(F.col(text), prefix_chars))
         .withWatermark(ts, within)
     )
     if salts > 1:

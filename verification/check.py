@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -58,7 +60,14 @@ def compare(spark, connection, sf_dir: str, name: str) -> str:
 def main() -> int:
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:] or list(QUERIES)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    work = tempfile.mkdtemp(prefix="textward-check-")
+    spark = build_session(
+        master="local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.textward.read.partitions": "8",
+            "spark.checkpoint.dir": work,
+        },
+    )
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(sf_dir)
     bad = 0
@@ -70,6 +79,8 @@ def main() -> int:
             verdict = f"ERROR {type(exc).__name__}: {str(exc)[:1500]}"
         bad += not verdict.startswith(("ok",)) and "no twin" not in verdict
         print(f"{name:24s} {time.time() - began:6.1f}s {verdict}", flush=True)
+    spark.stop()
+    shutil.rmtree(work, ignore_errors=True)
     print("failures:", bad)
     return bad
 

@@ -36,7 +36,7 @@ def words(x: str) -> str:
 
 
 def near_key(x: str) -> str:
-    return f"sha256({strip(f'lower(substring({x}, 1, 300))')})"
+    return f"sha256({strip(f'lower({x})')})"
 
 
 # ---- personal data ------------------------------------------------------------------------------
@@ -98,7 +98,7 @@ SELECT doc_id, {collapse('text')} AS normalized, {strip("replace(text, chr(10),
 FROM documents"""
 
 SQL["clip_text"] = f"""
-WITH c AS (SELECT doc_id, substring({strip('text')}, 1, 10000) AS text FROM documents)
+WITH c AS (SELECT doc_id, {strip('text')} AS text FROM documents)
 SELECT doc_id, text, length(text)::BIGINT AS length FROM c"""
 
 
@@ -298,7 +298,7 @@ SELECT source, count(*) AS raw_rows_after_filter, count(*) FILTER (kept) AS kept
 FROM r GROUP BY source"""
 
 SQL["filtered_source"] = f"""
-WITH r AS (SELECT conv_id, substring({strip('text')}, 1, 10000) AS text FROM conversations
+WITH r AS (SELECT conv_id, {strip('text')} AS text FROM conversations
            WHERE role = 'user' AND turn = 0 AND NOT {_blank})
 SELECT conv_id, text, 0::BIGINT AS label, 'tree' AS source, 'en' AS lang, length(text)::BIGINT AS length FROM r"""
 
@@ -407,7 +407,7 @@ SQL["recent_decisions"] = f"""{_TURN_RESULTS}
 SELECT conv_id, turn, log_type AS type, decision, {_FAILED_OR_NONE} AS failed_filters FROM results
 WHERE stage <> 'no_prompt' ORDER BY conv_id DESC, turn DESC LIMIT 500"""
 SQL["recent_stats"] = f"""{_TURN_RESULTS}
-SELECT {_COUNTS} FROM (SELECT decision FROM results WHERE stage <> 'no_prompt' ORDER BY conv_id DESC, turn DESC LIMIT 500)"""
+SELECT {_COUNTS} FROM (SELECT decision FROM results WHERE stage <> 'no_prompt')"""
 SQL["error_payloads"] = f"""WITH {screened(_LAST, 'conv_id')}
 SELECT conv_id, status_code, '{{"error":{{"message":"' || CASE status_code WHEN 502 THEN 'Upstream LLM error: ' || content ELSE detail END
        || '"}}}}' AS payload
@@ -433,10 +433,10 @@ FROM masked"""
 SQL["batch_requests"] = """
 SELECT conv_id, turn, CASE conv_id % 8 WHEN 1 THEN '`prompts` must be a non-empty array of strings.'
     WHEN 2 THEN 'Every item in `prompts` must be a string.' WHEN 3 THEN '`model` must be a non-empty string.'
-    WHEN 4 THEN '`concurrency` must be an integer greater than 0.' WHEN 5 THEN '`concurrency` must not exceed 100.'
+    WHEN 4 THEN '`concurrency` must be an integer greater than 0.'
     WHEN 7 THEN '`system_message` must be a string when provided.' ELSE '' END AS error,
-  CASE WHEN conv_id % 8 IN (0, 6) THEN 2 ELSE -1 END::BIGINT AS n_prompts,
-  CASE conv_id % 8 WHEN 0 THEN 2 WHEN 6 THEN 1 ELSE -1 END::BIGINT AS concurrency
+  CASE WHEN conv_id % 8 IN (0, 5, 6) THEN 2 ELSE -1 END::BIGINT AS n_prompts,
+  CASE conv_id % 8 WHEN 0 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE -1 END::BIGINT AS concurrency
 FROM conversations WHERE role = 'user'"""
 
 # ---- corpus construction ------------------------------------------------------------------------
@@ -501,7 +501,7 @@ SQL["stratum_count"] = f"WITH {_LABELLED} SELECT count(DISTINCT (source, lang))
 SQL["training_order"] = f"WITH {_LABELLED} SELECT doc_id, sha256('7-order|' || doc_id) AS order_key FROM labelled"
 SQL["built_corpus"] = f"""
 WITH {_LABELLED},
-clean AS (SELECT doc_id, substring({strip('text')}, 1, 10000) AS text, label, 'documents' AS source, lang FROM labelled WHERE NOT {_blank}),
+clean AS (SELECT doc_id, {strip('text')} AS text, label, 'documents' AS source, lang FROM labelled WHERE NOT {_blank}),
 firsts AS (SELECT * FROM clean WHERE doc_id IN (SELECT min(doc_id) FROM clean GROUP BY {near_key('text')})),
 {balanced('firsts', 0.6)}, {divided('balanced')}
 SELECT doc_id, d.label::BIGINT AS label, d.lang, length(text)::BIGINT AS length, split FROM divided d JOIN firsts USING (doc_id)"""

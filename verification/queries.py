@@ -7,7 +7,6 @@ to BIGINT, so that another engine's rows can be compared with them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from textward.operators import models
 from textward.plans import evaluation, screening
 from textward.session import scratch_path, staged
 from textward.sources import batches, corpus, decision_log
-from textward.sources.reading import is_small, spread
+from textward.sources.reading import spread
 from textward.sources.catalogue import SourceSpec
 from textward.streaming import live
 
@@ -132,7 +131,7 @@ def normalize_ws(spark, sf_dir):
 
 
 def clip_text(spark, sf_dir):
-    clipped = T.clip(F.col("text"), 10000)
+    clipped = T.clip(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", clipped.alias("text"), big(F.length(clipped)).alias("length"))
 
 
@@ -491,9 +490,9 @@ def recent_decisions(spark, sf_dir):
 
 
 def recent_stats(spark, sf_dir):
-    """Decision counts over the newest 500 entries."""
+    """Decision counts over the whole log."""
     log = screening.log_entries(_screened_turns(spark, sf_dir)).drop("total_latency_ms")
-    return decision_log.recent_stats(log, ("conv_id", "turn"))
+    return decision_log.recent_stats(log)
 
 
 def error_payloads(spark, sf_dir):
@@ -783,19 +782,6 @@ def _finish(query) -> None:
     query.awaitTermination()
 
 
-@contextmanager
-def _state_for(spark, df: DataFrame):
-    """Fewer state partitions than the session's, while a stream over a small table runs."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    if is_small(df):
-        spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def stream_screening(spark, sf_dir):
     """Documents arriving as requests, screened into the decision log, read back."""
     arriving = _arriving_documents(spark, sf_dir)
@@ -819,8 +805,7 @@ def stream_pairs(spark, sf_dir):
     again = _stream(spark, sf_dir, "conversations").withColumn("ts", at)
     pairs = live.pair_turns(arriving.filter("role = 'user'"), again.filter("role = 'assistant'"))
     out = scratch_path(spark, "stream-pairs")
-    with _state_for(spark, turns(spark, sf_dir)):
-        _finish(live.write_table(pairs.filter("response IS NOT NULL"), out, scratch_path(spark, "cp"), _ONCE))
+    _finish(live.write_table(pairs.filter("response IS NOT NULL"), out, scratch_path(spark, "cp"), _ONCE))
     return spark.read.schema("conv_id bigint, turn bigint, ts timestamp, prompt string, response string").parquet(out).select(
         "conv_id", "turn", "prompt", "response"
     )
@@ -838,11 +823,10 @@ def stream_windows(spark, sf_dir):
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    with _state_for(spark, table(spark, sf_dir, "events")):
-        _finish(
-            counts.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", scratch_path(spark, "cp")).trigger(**_ONCE).start()
-        )
+    _finish(
+        counts.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", scratch_path(spark, "cp")).trigger(**_ONCE).start()
+    )
     updates = spark.read.parquet(out)
     last = updates.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "mean_latency_ms"), "batch").alias("r"))
     start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
@@ -853,8 +837,7 @@ def stream_first_arrivals(spark, sf_dir):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 600)
     rows = live.first_arrivals(_stream(spark, sf_dir, "documents").withColumn("ts", at), within="1 day")
     out = scratch_path(spark, "stream-first")
-    with _state_for(spark, table(spark, sf_dir, "documents")):
-        _finish(live.write_table(rows.select("near_key"), out, scratch_path(spark, "cp"), _ONCE))
+    _finish(live.write_table(rows.select("near_key"), out, scratch_path(spark, "cp"), _ONCE))
     return spark.read.parquet(out)
 
 
