@@ -99,7 +99,7 @@ def blocks(docs: DataFrame, held_out: Column, settings: Settings, id: str = "doc
                 found = np.fromiter(map(places.__getitem__, w), np.uint32, len(w))
                 if len(places) > len(of_class):
                     of_class += [class_of(x, classes) for x in _tail(places, len(of_class))]
-                ids.append(found.tobytes())
+                ids.append(_planes(found))
                 cls.append(np.append(np.fromiter(map(of_class.__getitem__, found.tolist()), np.uint16, len(w)), np.uint16(END)).tobytes())
                 if not held[i] and len(w):
                     if len(counts) < len(places):
@@ -122,6 +122,16 @@ def blocks(docs: DataFrame, held_out: Column, settings: Settings, id: str = "doc
     return rows.mapInArrow(run, schema)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits as all their first bytes, then all their second ones and so on: the higher
+    bytes are mostly zero and compress away wherever the rows are written."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _tail(places: dict, known: int) -> list[bytes]:
     """The words that joined a dictionary after the first ``known``, oldest first."""
     last = []
@@ -268,13 +278,17 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     cut = staged(blocks(docs, F.coalesce(held_out, F.lit(False)), settings, id), "blocks")
     texts = cut.where("ids is not null")
     listed = cut.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    listed = listed.select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = staged(
-        listed.groupBy("word").agg(F.sum("n").alias("c"))
-        .withColumn("class", (F.crc32("word") % (settings.classes - 1) + 1).cast("int")),
+    # One shuffle by word serves both the sums and the join that brings them back to the blocks.
+    listed = listed.select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n")).repartition("word")
+    totals = listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"))
+    valued = staged(
+        listed.join(totals, "word").select(
+            F.col("block").alias("of_block"), "at", "c", (F.crc32("word") % (settings.classes - 1) + 1).cast("int").alias("class"),
+            (F.col("block") == F.col("first")).alias("once"),
+        ),
         "counts",
     )
-    by_class = counts.where("c > 0").groupBy("class").agg(
+    by_class = valued.where("once and c > 0").groupBy("class").agg(
         F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))
     ).collect()  # at most one row for each class
     of_class = np.zeros((settings.classes, 4))
@@ -297,7 +311,6 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
 
     kept = texts.select("doc_id", "held_out", "block", "ids", "classes")
     chained = kept.mapInArrow(forward, kept.drop("classes").schema.add("chain", "double"))
-    valued = listed.join(counts, "word").select(F.col("block").alias("of_block"), "at", "c", "class")
     schema = kept.select("doc_id", "held_out").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
@@ -305,7 +318,7 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         return _add_words(left, right, shared.value[1], discount, base, ends, schema.names)
 
-    scored = chained.groupBy("block").cogroup(valued.groupBy("of_block")).applyInArrow(add, schema)
+    scored = chained.groupBy("block").cogroup(valued.drop("once").groupBy("of_block")).applyInArrow(add, schema)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score"
     )
@@ -325,7 +338,7 @@ def _add_words(left, right, of_class, discount, base, ends, names) -> pa.Table:
     end = np.array([1, ends > 0, np.log10((ends + 1) / base), 0.0])
     sums = np.empty((left.num_rows, 4))
     for i, raw in enumerate(left.column("ids").to_pylist()):
-        sums[i] = values[np.frombuffer(raw, np.uint32)].sum(axis=0) + end
+        sums[i] = values[_numbers(raw)].sum(axis=0) + end
     chain = left.column("chain").to_numpy()
     return pa.table([
         left.column("doc_id"), left.column("held_out"), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)),
