@@ -146,12 +146,23 @@ def test_external_model(spark):
 
 
 def test_external_model_in_the_flow(spark):
-    """Only rows that get that far are scored; a failing row is blocked, the others go on."""
+    """Only rows that get that far are scored; a failing row is an error, the others go on."""
     registry = E.Registry({"en": [external()]}, [external("worse")])
     data = [("good day", "evil reply"), ("evil day", "never"), ("bad day", "never"), ("good day", "worse"), ("good day", "ok"), ("", "bad")]
     df = spark.createDataFrame(data, "prompt string, response string")
-    got = [r["decision"] for r in P.screen(df, registry).collect()]
-    assert got == ["DROPPED", "BLOCKED", "BLOCKED", "DROPPED", "ALLOWED", "ERROR"]
+    rows = P.screen(df, registry).collect()
+    assert [r["decision"] for r in rows] == ["DROPPED", "BLOCKED", "ERROR", "ERROR", "ALLOWED", "ERROR"]
+    assert (rows[2]["status_code"], rows[2]["content"]) == (503, "RuntimeError: no score")
+    assert rows[2]["detail"].startswith("Input model error: RuntimeError: no score")
+
+
+def test_a_failing_output_model_is_an_error(spark):
+    registry = E.Registry({"en": [E.ClassifierSpec("a", options={"keywords": ("evil",)})]}, [external()])
+    df = spark.createDataFrame([("good day", "bad"), ("good day", "fine"), ("evil day", "bad")], "prompt string, response string")
+    rows = P.screen(df, registry).collect()
+    assert [(r["decision"], r["status_code"]) for r in rows] == [("ERROR", 503), ("ALLOWED", 200), ("BLOCKED", 200)]
+    assert rows[0]["detail"] == "Output model error: RuntimeError: no score"
+    assert P.log_entries(P.screen(df, registry)).first()["type"] == P.LOG_TYPES["output_model"]
 
 
 def test_registry():

@@ -108,6 +108,10 @@ def keyword_share_backend(spec: ClassifierSpec, text: Column) -> Column:
     )
 
 
+# How the detail of a result begins whose classifier failed on the row.
+ERROR_PREFIX = "error: "
+
+
 def external_backend(spec: ClassifierSpec, text: Column) -> Column:
     """A model from outside Spark: ``options['load']()`` returns ``score(list[str]) -> list``.
 
@@ -121,7 +125,7 @@ def external_backend(spec: ClassifierSpec, text: Column) -> Column:
             s["error"].isNotNull() | S.exceeds(S.clamp01(s["score"]), spec.threshold),
             F.when(s["error"].isNull(), S.clamp01(s["score"])),
             s["latency_ms"],
-            F.when(s["error"].isNotNull(), F.concat(F.lit("error: "), s["error"])),
+            F.when(s["error"].isNotNull(), F.concat(F.lit(ERROR_PREFIX), s["error"])),
         ),
     )
 
@@ -274,6 +278,12 @@ def passed(results: Column) -> Column:
     return F.forall(results, lambda r: r["passed"])
 
 
+def first_error(results: Column) -> Column:
+    """What a classifier that failed on the row said, the first one's if several did; else null."""
+    failing = F.filter(results, lambda r: r["confidence"].isNull() & r["detail"].startswith(ERROR_PREFIX))
+    return F.substring(F.get(failing, F.lit(0))["detail"], len(ERROR_PREFIX) + 1, 1 << 30)
+
+
 def failed_filters(results: Column) -> Column:
     return F.transform(F.filter(results, lambda r: ~r["passed"]), lambda r: r["filter_name"])
 

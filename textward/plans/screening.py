@@ -192,10 +192,12 @@ def screen(
     """Decides every request. Needs ``prompt`` and ``response``; other columns are kept.
 
     A null response stands for a failed call, for the reason in ``upstream_error`` if that
-    column exists. Whatever fails while scoring a row decides that row as an error.
+    column exists. A classifier that cannot be built, or fails on a row, decides that row as an
+    error with its message; the row does not pass, and other rows go on.
     """
     keep = [c for c in requests.columns if c not in ("prompt", "response", "upstream_error")]
     scored = score_inputs(requests, registry, options, history)
+    scored = scored.withColumn("input_error", F.coalesce("input_error", E.first_error(F.col("input_results"))))
 
     output_error = None
     if options.enable_output_classifiers:
@@ -224,6 +226,7 @@ def screen(
         else F.lit(None).cast(f"array<{E.FILTER_RESULT}>")
     )
     done = masked.withColumn("__out", text).withColumn("output_results", evaluate_here(outputs))
+    failed_here = E.first_error(F.col("output_results"))
 
     # Decided by the first of these that holds.
     out = F.col("__out")
@@ -233,6 +236,7 @@ def screen(
         .when(F.lit(output_error is not None), "output_model")
         .when(~F.col("__input_ok"), "blocked")
         .when(out.isNull(), "upstream")
+        .when(failed_here.isNotNull(), "output_model")
         .when(~F.coalesce(E.passed(F.col("output_results")), F.lit(True)), "dropped")
         .otherwise("allowed")
     )
@@ -244,7 +248,7 @@ def screen(
         F.col("upstream_error") if "upstream_error" in requests.columns else F.lit(None).cast("string"),
         F.lit(NO_RESPONSE),
     )
-    refusal, model_error = F.lit(options.refusal_message), F.lit(output_error or "")
+    refusal, model_error = F.lit(options.refusal_message), F.coalesce(F.lit(output_error), failed_here)
     in_failed, out_failed = E.failed_filters(F.col("input_results")), E.failed_filters(F.col("output_results"))
     masked_line = F.when(
         F.size(entities) > 0, F.concat(F.lit("PII masked: "), F.array_join(entities, ", "))
