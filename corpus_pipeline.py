@@ -71,10 +71,10 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """(doc_id, source, n_tokens, token_ids, token_offsets, decoded_ok) of every row; ``decoded_ok`` tells
     that the ids decode to the text's bytes. A null text has no tokens."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), path, check=True)
     return encoded.select(
         "doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "token_offsets",
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("decoded_ok"),
+        F.col("decodes").alias("decoded_ok"),
     )
 
 

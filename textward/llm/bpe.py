@@ -190,6 +190,8 @@ class Vocabulary:
 
     def __post_init__(self):
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.length = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        self.length[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.cached = Pieces(self.merge_long, self.keep)
         self.wide = max(self.bytes_of, default=0) + 1
@@ -299,6 +301,10 @@ class Vocabulary:
         for part in parts:
             yield list(chain.from_iterable(map(get, part)))
 
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Byte offset at which each token begins, the end of the text included."""
+        return np.append(0, np.cumsum(self.length[ids]))
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -309,11 +315,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def token_offsets(vocabulary: Vocabulary, ids: list[int]) -> list[int]:
-    """Byte offset at which each token begins, the end of the text included."""
-    return np.cumsum([0, *(len(vocabulary.bytes_of[i]) for i in ids)]).tolist()
-
-
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -343,15 +344,17 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
     """The documents with ``token_ids`` (array of int) and ``token_offsets`` (byte offsets, one more
-    than tokens) added, in place of columns so called.
+    than tokens) added, in place of columns so called; with ``check`` also ``decodes``, whether the
+    ids decode to the text's bytes.
 
     The vocabulary file, of bounded size, is read where the job starts and broadcast. A null text
     is an empty one and has no tokens; a text of any length is encoded whole; repeated rows repeat.
     An empty table gives an empty table.
     """
-    return _apply(docs, path, text, {"token_ids": "array<int>", "token_offsets": "array<long>"}, _encoded)
+    kinds = {"token_ids": "array<int>", "token_offsets": "array<long>"}
+    return _apply(docs, path, text, kinds | {"decodes": "boolean"} if check else kinds, _checked if check else _encoded)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -364,8 +367,13 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _encoded(vocabulary: Vocabulary, texts: list[str]) -> list[list]:
-    ids = list(vocabulary.encode(texts))
-    return [ids, [token_offsets(vocabulary, found) for found in ids]]
+    ids = [np.array(found, np.int32) for found in vocabulary.encode(texts)]
+    return [ids, [vocabulary.offsets(found) for found in ids]]
+
+
+def _checked(vocabulary: Vocabulary, texts: list[str]) -> list[list]:
+    ids, offsets = _encoded(vocabulary, texts)
+    return [ids, offsets, [vocabulary.decode(i.tolist()) == t.encode("utf-8", "replace") for i, t in zip(ids, texts)]]
 
 
 def _digested(vocabulary: Vocabulary, texts: list[str]) -> list[list]:
@@ -386,18 +394,15 @@ def _apply(docs: DataFrame, path: str, text: str, kinds: dict[str, str], work) -
         + [T.StructField(k, T._parse_datatype_string(v), True) for k, v in kinds.items()]
     )
     at = kept.index(text)
-    arrow = {"array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "long": pa.int64(), "string": pa.string()}
+    arrow = {"array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches):
         vocabulary = shared()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            columns = [[] for _ in kinds]
-            for a, b in _groups(texts):
-                for column, values in zip(columns, work(vocabulary, texts[a:b])):
-                    column += values
-            added = [pa.array(c, arrow[k]) for c, k in zip(columns, kinds.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, *kinds])
+            for a, b in _groups(texts):  # a batch out for each, so that ids of few texts are in memory
+                added = [pa.array(c, arrow[k]) for c, k in zip(work(vocabulary, texts[a:b]), kinds.values())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *added], names=[*kept, *kinds])
 
     return base.mapInArrow(run, schema)
 
