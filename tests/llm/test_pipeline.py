@@ -1,8 +1,7 @@
 import corpus_pipeline as pipeline
 import pytest
 
-from .conftest import SF
-from .test_rules import plain_statistics
+from .test_rules import SF, plain_statistics
 
 
 @pytest.fixture(scope="module")
