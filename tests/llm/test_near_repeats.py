@@ -1,0 +1,13 @@
+from textward.llm import simhash
+
+
+def test_repeats_of_a_phrase_do_not_part_near_copies(spark):
+    words = [f"word{i}" for i in range(300)]
+    many = [f"other{i}" for i in range(1000)]
+    rows = [
+        (1, " ".join(words)), (2, " ".join(words + ["again"] * 100)),
+        (3, " ".join(many)), (4, " ".join(many + ["more"] * 700)),
+        (5, " ".join(["more"] * 700 + many[:-1])),
+    ]
+    got = {r.doc_id: r.component for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}

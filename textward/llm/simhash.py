@@ -47,19 +47,25 @@ def fingerprint(text: str | None, shingle: int) -> tuple[int, int, np.ndarray]:
         parts = map(b" ".join, zip(*[w[i:] for i in range(shingle)]))
         n = len(w) - shingle + 1
     hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, n)
+    return majority(hashes), n, hashes
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes have."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for texts of any length
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     packed = np.packbits(counts * 2 > n, bitorder="little")
-    return int(packed.view("<u8")[0]), n, hashes
+    return int(packed.view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, text: str = "text") -> DataFrame:
     """The documents without their text, with ``fp`` (the fingerprint as a signed long).
 
     With a ``sketch`` of k, also ``set_hash``, a hash of the set of shingles, and ``sketch``, the k
-    smallest shingle hashes.
+    smallest shingle hashes; then repeats of a shingle do not count in ``fp`` either.
     """
     kept = [c for c in docs.columns if c not in (text, "fp", "set_hash", "sketch")]
     base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(text))
@@ -72,9 +78,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, text: str =
             found, sets, sketches = [], [], []
             for t in batch.column(len(kept)).to_pylist():
                 fp, n, hashes = fingerprint(t, shingle)
-                found.append(fp)
                 if sketch:
                     distinct = np.unique(hashes)
+                    fp = majority(distinct)
+                found.append(fp)
+                if sketch:
                     sets.append(xxhash.xxh64_intdigest(distinct.tobytes()))
                     sketches.append(distinct[:sketch].view(np.int64).tolist())
             columns = [batch.column(i) for i in range(len(kept))]
