@@ -799,13 +799,29 @@ def stream_newest(spark, sf_dir):
 
 
 def stream_pairs(spark, sf_dir):
-    """Prompts and answers arriving apart, paired by conversation and turn."""
+    """Prompts and answers arriving apart, paired by conversation and turn; unanswered prompts too.
+
+    A row of each side that arrives a day after all others lets the watermark pass them, so that prompts
+    without an answer come out. The watermark never passes those two rows themselves, so they do not.
+    """
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
-    arriving = _stream(spark, sf_dir, "conversations").withColumn("ts", at)
-    again = _stream(spark, sf_dir, "conversations").withColumn("ts", at)
-    pairs = live.pair_turns(arriving.filter("role = 'user'"), again.filter("role = 'assistant'"))
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.agg(
+        (F.coalesce(F.max("conv_id"), F.lit(0)) + 1).alias("conv_id"), (F.coalesce(F.max("turn"), F.lit(0)) + 86_400).alias("turn")
+    )
+    later = scratch_path(spark, "stream-later")
+    closing = last.select(*[
+        (F.col(f.name) if f.name in last.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in turns.schema
+    ])
+    closing.write.parquet(later)
+
+    def side(role):
+        rows = _stream(spark, sf_dir, "conversations").filter(F.col("role") == role)
+        return rows.union(live.read_stream(spark, later, turns.schema)).withColumn("ts", at)
+
+    pairs = live.pair_turns(side("user"), side("assistant"))
     out = scratch_path(spark, "stream-pairs")
-    _finish(live.write_table(pairs.filter("response IS NOT NULL"), out, scratch_path(spark, "cp"), _ONCE))
+    _finish(live.write_table(pairs, out, scratch_path(spark, "cp"), _ONCE))
     return spark.read.schema("conv_id bigint, turn bigint, ts timestamp, prompt string, response string").parquet(out).select(
         "conv_id", "turn", "prompt", "response"
     )
