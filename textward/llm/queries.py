@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, hmm, langid, lines, mixing, neighbours, rules, shards, simhash, toolcalls
+from textward.llm import bpe, hmm, infill, langid, lines, mixing, neighbours, rules, shards, simhash, toolcalls
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -179,7 +179,8 @@ def op7_tool_calls(spark, sf_dir):
 
 OP7_SQL = r"""
 WITH u AS (
-  SELECT conv_id, 'call_' || turn AS call_id, turn, text, len(regexp_extract_all(text, '[^ 	-]+')) AS words, count(*) AS n_calls
+  SELECT conv_id, 'call_' || turn AS call_id, turn, text, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words, count(*) AS n_calls
   FROM conversations WHERE role = 'user' GROUP BY conv_id, turn, text
 ), i AS (
   SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM u
@@ -234,6 +235,41 @@ def op10_byte_bpe(spark, sf_dir):
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+# ---- 13, fill-in-middle -------------------------------------------------------------------------
+
+
+def op13_infill(spark, sf_dir):
+    done = infill.restore(infill.transform(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), k AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), c AS (
+  SELECT *, substr(text, 1, least(a, b)) AS prefix, substr(text, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle,
+         substr(text, greatest(a, b) + 1) AS suffix
+  FROM k
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -245,10 +281,12 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_infill": op13_infill,
 }
 
 ORACLE = {
     "op2_mixing": OP2_SQL,
     "op4_neighbours": OP4_SQL,
     "op7_tool_calls": OP7_SQL,
+    "op13_infill": OP13_SQL,
 }
