@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, hmm, infill, langid, lines, mixing, neighbours, rules, shards, simhash, toolcalls
+from textward.llm import audit, bpe, hmm, infill, langid, lines, mixing, neighbours, rules, shards, simhash, toolcalls, winnow
 from textward.llm.common import only, word_count
 from textward.session import staged
 
@@ -235,6 +235,97 @@ def op10_byte_bpe(spark, sf_dir):
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+# ---- 11, filter interactions --------------------------------------------------------------------
+
+
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return audit.interactions(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w
+  FROM documents
+), f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM d
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name
+), o AS (
+  SELECT a.name || b.name || c.name || e.name || g.name AS filter_order FROM x a, x b, x c, x e, x g
+  WHERE len(list_distinct([a.name, b.name, c.name, e.name, g.name])) = 5
+), s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         list_sum([0] || [1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step)])::BIGINT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+         sum(n) FILTER (mask & bit > 0 AND mask & before = 0) AS removed,
+         sum(n) FILTER (mask & bit > 0 AND mask & before > 0) AS redundant,
+         sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & bit > 0 AND mask & before = 0) AS good_lost,
+         sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
+# ---- 12, benchmark decontamination --------------------------------------------------------------
+
+
+def op12_decontamination(spark, sf_dir):
+    found = winnow.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP12_SQL = r"""
+WITH i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, w, least(len(w), 10) AS size
+  FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), v AS (
+  SELECT DISTINCT item, size, array_to_string(w[pos:pos + size - 1], ' ') AS part
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM i)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS part
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM d, (SELECT DISTINCT size FROM v))
+), m AS (
+  SELECT p.doc_id, p.size, pos, item FROM p JOIN v ON p.part = v.part AND p.size = v.size
+), h AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 # ---- 13, fill-in-middle -------------------------------------------------------------------------
 
 
@@ -281,6 +372,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_decontamination": op12_decontamination,
     "op13_infill": op13_infill,
 }
 
@@ -288,5 +381,7 @@ ORACLE = {
     "op2_mixing": OP2_SQL,
     "op4_neighbours": OP4_SQL,
     "op7_tool_calls": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_decontamination": OP12_SQL,
     "op13_infill": OP13_SQL,
 }
