@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textward.llm.common import byte_words
 from textward.llm.components import components
@@ -61,35 +60,17 @@ def majority(hashes: np.ndarray) -> int:
     return int(packed.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, text: str = "text") -> DataFrame:
-    """The documents without their text, with ``fp`` (the fingerprint as a signed long).
-
-    With a ``sketch`` of k, also ``set_hash``, a hash of the set of shingles, and ``sketch``, the k
-    smallest shingle hashes; then repeats of a shingle do not count in ``fp`` either.
-    """
-    kept = [c for c in docs.columns if c not in (text, "fp", "set_hash", "sketch")]
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
+    """The documents without their text, with ``fp`` (the fingerprint as a signed long)."""
+    kept = [c for c in docs.columns if c not in (text, "fp")]
     base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(text))
     schema = base.drop(text).schema.add("fp", "long")
-    if sketch:
-        schema = schema.add("set_hash", "long").add("sketch", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sets, sketches = [], [], []
-            for t in batch.column(len(kept)).to_pylist():
-                fp, n, hashes = fingerprint(t, shingle)
-                if sketch:
-                    distinct = np.unique(hashes)
-                    fp = majority(distinct)
-                found.append(fp)
-                if sketch:
-                    sets.append(xxhash.xxh64_intdigest(distinct.tobytes()))
-                    sketches.append(distinct[:sketch].view(np.int64).tolist())
+            found = [fingerprint(t, shingle)[0] for t in batch.column(len(kept)).to_pylist()]
             columns = [batch.column(i) for i in range(len(kept))]
-            columns.append(_longs(found))
-            if sketch:
-                columns += [_longs(sets), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, _longs(found)], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -256,6 +237,19 @@ def links(keyed: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _named(of_fp: DataFrame, keyed: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of fingerprints (fp, least): the smallest ``least`` that links lead to."""
+    near = components(links(keyed, radius))
+    named = near.join(of_fp, near["node"] == of_fp["fp"])
+    names = staged(named.groupBy("component").agg(F.min("least").alias("name")), "names")
+    linked = near.join(names, "component").select(F.col("node").alias("fp"), "name")
+    return staged(of_fp.join(linked, "fp", "left").select("fp", F.coalesce("name", "least").alias("component")), "groups")
+
+
+def _all_keys(of_fp: DataFrame, radius: int) -> DataFrame:
+    return of_fp.select(F.explode(pigeonhole_keys(F.col("fp"), radius)).alias("key"), "fp")
+
+
 def groups(prints: DataFrame, radius: int, keys: Column | None = None, id: str = "doc_id") -> DataFrame:
     """The rows of ``prints`` (id, fp, ...) with ``component``, the smallest id that links lead to.
 
@@ -267,140 +261,33 @@ def groups(prints: DataFrame, radius: int, keys: Column | None = None, id: str =
     """
     prints = staged(prints.drop("component"), "prints")
     of_fp = staged(prints.groupBy("fp").agg(F.min(id).alias("least")), "least")
-    if keys is None:
-        keyed = of_fp.select(F.explode(pigeonhole_keys(F.col("fp"), radius)).alias("key"), "fp")
-    else:
-        keyed = prints.select(F.explode(keys).alias("key"), "fp").distinct()
-    near = components(links(keyed, radius))
-    named = near.join(of_fp, near["node"] == of_fp["fp"])
-    names = staged(named.groupBy("component").agg(F.min("least").alias("name")), "names")
-    linked = near.join(names, "component").select(F.col("node").alias("fp"), "name")
-    table = staged(
-        of_fp.join(linked, "fp", "left").select("fp", F.coalesce("name", "least").alias("component")), "groups"
-    )
-    return prints.join(table, "fp")
-
-
-# ---- similar documents: fingerprints propose, shingle sets decide --------------------------------
-
-# Documents of a candidate group whose shingle sets are compared in one task.
-SET_TILE = 256
+    keyed = _all_keys(of_fp, radius) if keys is None else prints.select(F.explode(keys).alias("key"), "fp").distinct()
+    return prints.join(_named(of_fp, keyed, radius), "fp")
 
 
-def similar(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, sketch: int = 8, id: str = "doc_id"
-) -> DataFrame:
-    """(id, text_hash, component, keep) of documents (id, text): groups linked by similar shingle sets.
+def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of linked fingerprints, with all its columns.
 
-    Two documents link if the Jaccard similarity of their sets of shingles is ``similarity`` or more.
-    Candidates come from SimHashes: documents that share one of their ``sketch`` smallest shingle
-    hashes and whose fingerprints differ in at most ``radius`` bits, compared in bit planes. At a
-    similarity of 0.8, all eight smallest differ with a chance of about 0.2 ** 8, and 18 bits are
-    more than twice the distance that is usual. Shingle sets then decide within each group of
-    candidates: exactly, in tiles of bounded size, with what a set shares with no other left out.
+    The smallest id stays; of equal ids the smallest hash of the text, null ids last, and of rows equal
+    in both one. Texts without words, null ones too, have the fingerprint zero, which links like any other.
 
-    ``component`` is the smallest id of the group, and ``keep`` is true for one document of it: the
-    one with that id, the smallest text hash among equal ids, null ids last. Rows equal in id and
-    text come out once. Texts without words are one group. Null and blank texts have no words.
+    Fingerprints find each group's head. A group's rows are never brought together: each is compared with
+    its head, and only the ids that go are joined to the documents.
     """
-    hashed = docs.select(F.col(id).alias("id"), F.xxhash64("text").alias("h"), F.col("text"))
-    prints = staged(fingerprints(hashed, shingle, sketch), "prints")
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("h"))
-    nodes = staged(
-        prints.groupBy("set_hash").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "sets"
+    narrow = docs.select(F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    prints = staged(fingerprints(narrow, shingle), "prints")
+    order = F.struct(F.col("i").isNull().alias("last"), F.col("i"), F.col("h"))
+    of_fp = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "least")
+    heads = _named(of_fp, _all_keys(of_fp, radius), radius)
+    is_head = F.col("i").eqNullSafe(F.col("component.i")) & (F.col("h") == F.col("component.h"))
+    gone = staged(prints.join(heads, "fp").where(~is_head).select("i", "h").distinct(), "gone")
+    again = staged(prints.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1").select("i", "h"), "again")
+
+    rows = docs.select(
+        F.col(f"`{id}`").alias("_i"), F.xxhash64(F.col(f"`{text}`")).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     )
-    keyed = nodes.select(F.explode("sketch").alias("key"), "fp").distinct()
-    near = components(links(keyed, radius))
-    shared = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    group = near.select(F.col("node").alias("fp"), F.col("component").alias("g"))
-    group = group.unionByName(shared.join(group, "fp", "left_anti").select("fp", F.col("fp").alias("g")))
-    candidates = staged(nodes.join(group, "fp").select("set_hash", "g", "first.id", "first.h"), "candidates")
-    texts = hashed.join(
-        candidates.select("set_hash", "g", F.col("id").alias("c_id"), F.col("h").alias("c_h")),
-        F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")),
-    ).select("set_hash", "g", "text")
-    alike = components(_alike_sets(texts, candidates, shingle, similarity))
-    named = nodes.join(alike.select(F.col("node").alias("set_hash"), "component"), "set_hash", "left").select(
-        "set_hash", "first", F.coalesce("component", "set_hash").alias("component")
-    )
-    named = staged(named, "named")
-    heads = named.groupBy("component").agg(F.min("first").alias("head"))
-    table = staged(named.join(heads, "component").select("set_hash", "head"), "heads")
-    rows = prints.select("id", "h", "set_hash").distinct().join(table, "set_hash")
-    keep = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("h") == F.col("head.h"))
-    return rows.select(F.col("id").alias(id), F.col("h").alias("text_hash"), F.col("head.id").alias("component"), keep.alias("keep"))
-
-
-def _alike_sets(texts: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of set hashes, enough to connect all similar sets of each candidate group."""
-    sizes = candidates.groupBy("g").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"), F.count("*").alias("n"))
-    sizes = sizes.where("n > 1")
-    mine = F.pmod("set_hash", "tiles").cast("int")
-    units = (
-        texts.join(sizes, "g").withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "set_hash", "text")
-        .repartition("unit").sortWithinPartitions("unit", "set_hash")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, sets = None, [], []
-
-        def found() -> pa.RecordBatch:
-            label = spanning(len(nodes), [_similar_pairs(sets, similarity)])
-            moved = [(nodes[i], nodes[j]) for i, j in enumerate(label.tolist()) if i != j]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in moved], pa.int64()), pa.array([b for _, b in moved], pa.int64())], names=["a", "b"]
-            )
-
-        for batch in batches:
-            for u, node, text in zip(*(column.to_pylist() for column in batch.columns)):
-                if u != unit:
-                    if len(nodes) > 1:
-                        yield found()
-                    unit, nodes, sets = u, [], []
-                if not nodes or nodes[-1] != node:  # equal rows of a repeated document
-                    nodes.append(node)
-                    sets.append(np.unique(fingerprint(text, shingle)[2]))
-        if len(nodes) > 1:
-            yield found()
-
-    return units.mapInArrow(run, "a long, b long").distinct()
-
-
-def _similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of sets of hashes with at least the Jaccard similarity."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], float)
-    owner = np.repeat(np.arange(n), size.astype(int))
-    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(times > 1) - 1  # hashes of one set alone are in no intersection
-    common = times[place] > 1
-    owner, place = owner[common], column[place[common]]
-    both = np.zeros((n, n), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        inside = (place >= at) & (place < at + 4096)
-        part = np.zeros((n, 4096), np.float32)
-        part[owner[inside], place[inside] - at] = 1
-        both += part @ part.T
-    near = both >= similarity * (size[:, None] + size - both) - 1e-6
-    return np.nonzero(np.triu(near, 1))
-
-
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that ``similar`` keeps: one of each group, with all their columns.
-
-    Of rows equal in id and text one stays. Texts move only to be compared and to single out equal
-    rows; the ids that go are joined to the documents where they are.
-    """
-    narrow = docs.select(F.col(f"`{id}`").alias("_i"), F.col(f"`{text}`").alias("text"))
-    decided = staged(similar(narrow, id="_i", **how), "decided")
-    gone = decided.where("not keep").select(F.col("_i").alias("_gone"), F.col("text_hash").alias("_gone_h"))
-    again = narrow.groupBy("_i", F.xxhash64("text").alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1")
-    again = staged(again.select(F.col("_i").alias("_again"), F.col("_h").alias("_again_h")), "again")
-    d = docs.withColumns({"_i": F.col(f"`{id}`"), "_h": F.xxhash64(F.col(f"`{text}`"))})
-    d = d.join(gone, F.col("_i").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
-    repeated = F.col("_i").eqNullSafe(F.col("_again")) & (F.col("_h") == F.col("_again_h"))
-    once = d.join(again, repeated, "left_anti")
-    twice = d.join(again, repeated, "left_semi").dropDuplicates(["_i", "_h"])
-    return once.unionByName(twice).drop("_i", "_h")
+    same = F.col("_i").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h"))
+    left = rows.join(gone, same, "left_anti")
+    once = left.join(again, same, "left_anti")
+    twice = left.join(again, same, "left_semi").dropDuplicates(["_i", "_h"])
+    return once.unionByName(twice).select("row.*")
