@@ -51,6 +51,7 @@ def copies(rows: DataFrame) -> DataFrame:
     """(row) of the judged rows whose text is identical to that of a row with a smaller id; a null id is
     neither smaller nor larger than another."""
     first = rows.groupBy("copy_of").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = staged(first, "first")  # so that both sides of the join come by shuffles, and a hot text can be split
     return rows.select("row", "id", "copy_of").join(first, "copy_of").where("id > first").select("row")
 
 
