@@ -51,11 +51,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles in common, four fifths or more.
+    """One document of each group linked by fingerprints of three-word shingles at most two bits apart.
 
     The smallest doc_id stays. Documents without words are one group. Of equal rows one stays.
     """
-    return simhash.deduplicate(packed(docs, "doc_id", "text")).select("_row.*")
+    return simhash.deduplicate(docs, shingle=3, radius=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
