@@ -32,9 +32,22 @@ _JAVA_FORMS = {
 }
 
 
+# Patterns of a keyword, anything, and a token at its end. If no token follows the first keyword of a line, none
+# follows the others: so a match that takes the rest of the line, and is none, keeps them from being tried.
+TO_LINE_END = (
+    "Facebook OAuth", "GitHub", "Generic API Key", "Generic Secret", "Heroku API Key", "Twitter Access Token", "Twitter OAuth",
+)
+
+
 def java_regex(entity: str) -> str:
-    """The pattern of an entity type as Spark's regular expression functions take it."""
-    return FLAGS + _JAVA_FORMS.get(entity, PII_PATTERNS[entity])
+    """The pattern of an entity type as Spark's regular expression functions take it.
+
+    For TO_LINE_END, group 1 is the match, and a match without it is the rest of a line that has none.
+    """
+    pattern = _JAVA_FORMS.get(entity, PII_PATTERNS[entity])
+    if entity in TO_LINE_END:
+        pattern = f"({pattern})|{pattern.split('.*')[0]}.*"
+    return FLAGS + pattern
 
 
 def folded(text: Column) -> Column:
@@ -92,38 +105,52 @@ def with_clues(df: DataFrame, text: str = "text") -> DataFrame:
     return marked.withColumn(_WORTH, F.struct(*flags)).drop(_CLUES)
 
 
+def found_in(text: Column, entity: str) -> Column:
+    """Whether a text has a match of an entity type."""
+    regex = java_regex(entity)
+    if entity in TO_LINE_END:
+        return F.exists(F.regexp_extract_all(text, F.lit(regex), F.lit(1)), lambda m: m != "")
+    return text.rlike(regex)
+
+
 def _scan_with(text: Column) -> Column:
-    hits = [F.when(_worth(e) & text.rlike(java_regex(e)), F.lit(e)) for e in PII_PATTERNS]
+    hits = [F.when(_worth(e) & found_in(text, e), F.lit(e)) for e in PII_PATTERNS]
     return F.when(text.isNotNull(), F.array_compact(F.array(*hits)))
 
 
 def _mask_with(text: Column, mask_char: str, guarded: bool) -> Column:
     entries = []
     for entity in PII_PATTERNS:
-        entry = F.struct(F.lit(entity).alias("name"), F.lit(java_regex(entity)).alias("regex"))
+        entry = F.struct(
+            F.lit(entity).alias("name"), F.lit(java_regex(entity)).alias("regex"), F.lit(entity in TO_LINE_END).alias("to_end")
+        )
         if guarded:
             entry = F.when(_worth(entity), entry)
         entries.append(entry)
     candidates = F.array_compact(F.array(*entries))
     no_entities = F.array().cast("array<string>")
 
-    def covered(source: Column, found: Column, regex: Column) -> Column:
+    def covered(source: Column, found: Column, real: Column, regex: Column) -> Column:
         between = F.split(source, regex, -1)
-        stars = F.transform(found, lambda m: F.repeat(F.lit(mask_char), F.length(m)))
+        stars = F.zip_with(found, real, lambda m, r: F.when(r == "", m).otherwise(F.repeat(F.lit(mask_char), F.length(m))))
         return F.array_join(
             F.zip_with(between, F.concat(stars, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""
         )
 
     def step(state: Column, entry: Column) -> Column:
-        return bind(
-            F.regexp_extract_all(state["text"], entry["regex"], F.lit(0)),
-            lambda found: F.when(F.size(found) == 0, state).otherwise(
+        def put(matches: Column) -> Column:
+            found, real = matches["found"], matches["real"]
+            return F.when(~F.exists(real, lambda m: m != ""), state).otherwise(
                 F.struct(
-                    covered(state["text"], found, entry["regex"]).alias("text"),
+                    covered(state["text"], found, real, entry["regex"]).alias("text"),
                     F.concat(state["masked_entities"], F.array(entry["name"])).alias("masked_entities"),
                 )
-            ),
-        )
+            )
+
+        group = lambda g: F.regexp_extract_all(state["text"], entry["regex"], F.lit(g))
+        return bind(group(0), lambda found: bind(
+            F.struct(found.alias("found"), F.when(entry["to_end"], group(1)).otherwise(found).alias("real")), put
+        ))
 
     start = F.struct(text.alias("text"), no_entities.alias("masked_entities"))
     return F.when(text.isNotNull(), F.aggregate(candidates, start, step))

@@ -14,13 +14,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def evaluate_here(column: Column) -> Column:
-    """The column, not to be repeated elsewhere in the plan.
+    """The column, for a projection's list of columns, computed once and not repeated elsewhere in the plan.
 
     Spark pushes a filter below the projection that computes its column by writing the whole
     expression into the filter. For a costly expression that means doing the work twice, and for
-    one built in layers the copies multiply until planning fails. Spark does not do this with
-    expressions it takes for non-deterministic, so the column is put behind a test of a random
-    number that always holds. Filters on other columns stop here too: filter first.
+    one built in layers the copies multiply until planning fails. It cannot do so with the output of a
+    generator, so the column becomes one that makes a single row. Filters on other columns still pass below
+    it, down to the scan, and columns that nobody asks for are not read. A projection takes one such column.
     """
-    # The bare comparison with 0 would be folded to true.
-    return F.when(F.rand(0) + 1.0 >= 1.0, column)
+    return F.explode(F.array(column))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textward.functions.text import near_duplicate_key
+from textward.session import staged
 
 
 def _keyed(df: DataFrame, text: str, order: str, prefix_chars: int | None) -> DataFrame:
@@ -47,15 +48,42 @@ def keep_first(df: DataFrame, text: str = "text", order: str = "pos", prefix_cha
     )
 
 
+def key_table(
+    df: DataFrame, *columns: str, text: str = "text", order: str = "pos", prefix_chars: int | None = None
+) -> DataFrame:
+    """(pos, near_key, text_hash) and the named columns of the rows, without their texts: both hashes of 256
+    bits. Written once, it serves everything that follows from keys."""
+    key = near_duplicate_key(F.col(text), prefix_chars).cast("binary")
+    return df.select(
+        F.col(order).alias("pos"), F.coalesce(F.unhex(F.sha2(key, 256)), F.lit(b"")).alias("near_key"),
+        F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("text_hash"), *columns,
+    )
+
+
+def first_of_keys(keys: DataFrame) -> DataFrame:
+    """The rows of a key table that are the first of their key.
+
+    First positions are combined on the map side and only those of keys with several rows are joined, from a
+    table that is written: both sides come by shuffles, so a key that very many rows share is split.
+    """
+    shared = keys.groupBy("near_key").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = staged(shared.drop("n"), "shared-keys")
+    return keys.join(shared, "near_key", "left").filter("first_pos is null or pos = first_pos").drop("first_pos")
+
+
 def collision_counts(df: DataFrame, text: str = "text", order: str = "pos", prefix_chars: int | None = None) -> DataFrame:
     """One row: rows before and after, exact and near collisions.
 
     Exact: dropped rows whose text is the kept one's. Near: the other dropped rows. Counted from
     (key, text) groups, whose sizes are combined on the map side.
     """
+    return collisions_of(_keyed(df, text, order, prefix_chars))
+
+
+def collisions_of(keys: DataFrame) -> DataFrame:
+    """The counts of ``collision_counts`` from a key table."""
     per_text = (
-        _keyed(df, text, order, prefix_chars)
-        .groupBy("near_key", "text_hash")
+        keys.groupBy("near_key", "text_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     )
     per_key = per_text.groupBy("near_key").agg(

@@ -103,8 +103,8 @@ def cut_table(
     return staged(cuts, "cuts")
 
 
-def with_cuts(df: DataFrame, strata: Sequence[str], cuts: DataFrame) -> DataFrame:
-    """The rows with the cuts of their stratum.
+def with_cuts(df: DataFrame, strata: Sequence[str], cuts: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows with the cuts of their stratum; with ``left``, rows of strata without cuts too.
 
     The cuts, one row per stratum, have been written, so the planner knows their size: it sends few
     of them to every task and joins many by stratum, where a hot stratum's rows are split as skew.
@@ -112,7 +112,7 @@ def with_cuts(df: DataFrame, strata: Sequence[str], cuts: DataFrame) -> DataFram
     names = [c for c in cuts.columns if c.startswith("cut_")]
     return (
         df.alias("r")
-        .join(cuts.alias("t"), _same("r", "t", strata))
+        .join(cuts.alias("t"), _same("r", "t", strata), how)
         .select(*[F.col(f"r.{c}").alias(c) for c in df.columns], *[F.col(f"t.{c}") for c in names])
     )
 
@@ -166,8 +166,11 @@ def balance(
     add up to more than wanted, the last rows in hash order go. Negatives are never added. With
     one class absent nothing changes; with both, rows of any other label go.
     """
-    n = class_balance(df, target_ratio)
-    label = F.col("label")
+    strata, label = ["source", "lang"], F.col("label")
+    hashed = df.withColumn("__hash", seeded_hash(seed, order))
+    # What decides is narrow and is written once; the rows themselves are read once more, at the end.
+    narrow = staged(hashed.filter(label.isin(0, 1)).select(*strata, "label", "__hash"), "balance")
+    n = class_balance(narrow, target_ratio)
     if not n.both:
         return df
     if not n.subsample:
@@ -177,12 +180,9 @@ def balance(
         rounded = F.bround(F.lit(n.desired) * (size.cast("double") / F.lit(n.negatives)))
         return F.least(size, F.greatest(F.lit(1), rounded.cast("bigint")))
 
-    strata = ["source", "lang"]
-    negatives = df.filter(label == 0).withColumn("__hash", seeded_hash(seed, order))
+    negatives = narrow.filter(label == 0)
     shares = cut_table(negatives, strata, "__hash", {"share": share})
-    drawn = with_cuts(negatives.select(*strata, "__hash"), strata, shares).filter(
-        F.col("__hash") <= F.col("cut_share")
-    )
+    drawn = with_cuts(negatives, strata, shares).filter(F.col("__hash") <= F.col("cut_share"))
     # The last hash among the wanted number of drawn rows: one value for the whole job.
     last = (
         cut_table(
@@ -194,10 +194,8 @@ def balance(
         .agg(F.max("cut_total"))
         .first()[0]
     )
-    kept = with_cuts(negatives, strata, shares).filter(
-        F.col("__hash") <= F.least(F.col("cut_share"), F.lit(last))
-    )
-    return df.filter(label == 1).union(kept.select(*df.columns))
+    kept = (label == 1) | ((label == 0) & (F.col("__hash") <= F.least(F.col("cut_share"), F.lit(last))))
+    return with_cuts(hashed, strata, shares, "left").filter(kept).select(*df.columns)
 
 
 def balance_stats(before: DataFrame, after: DataFrame, target_ratio: float = 0.6) -> DataFrame:
@@ -240,7 +238,8 @@ def split(
     val_n = lambda n: F.bround(n.cast("double") * ratios[1]).cast("bigint")
     hashed = df.withColumn("__hash", seeded_hash(f"{seed}-split", order))
     quotas = {"train": train_n, "val": lambda n: F.least(n, train_n(n) + val_n(n))}
-    cut = with_cuts(hashed, strata, cut_table(hashed, strata, "__hash", quotas))
+    narrow = staged(hashed.select(*strata, "__hash"), "split")
+    cut = with_cuts(hashed, strata, cut_table(narrow, strata, "__hash", quotas))
     return cut.withColumn(
         "split",
         F.when(F.col("__hash") <= F.col("cut_train"), "train")
@@ -249,6 +248,13 @@ def split(
     ).drop("__hash", "cut_train", "cut_val")
 
 
+def shuffled_within(df: DataFrame, group: str, seed: int = 7, order: str = "pos") -> DataFrame:
+    """The rows in partitions that follow one another in shuffled order within each group: written, the files
+    of a group hold its rows in that order. Ranges of groups and hashes, so a large group takes many tasks."""
+    hashed = df.withColumn("__order", seeded_hash(f"{seed}-order", order))
+    return hashed.repartitionByRange(group, "__order").sortWithinPartitions(group, "__order").drop("__order")
+
+
 def shuffled(df: DataFrame, seed: int = 7, order: str = "pos") -> DataFrame:
     """The rows in an order that has nothing to do with where they came from."""
     return df.withColumn("__order", seeded_hash(f"{seed}-order", order)).orderBy("__order").drop("__order")

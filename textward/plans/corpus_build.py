@@ -48,25 +48,30 @@ def build(
     max_text_chars: int | None = None,
     seed: int = 7,
     splits: dict[str, dict[str, DataFrame]] | None = None,
+    shuffle: bool = True,
 ) -> dict:
-    """Writes the split corpus, the held-out sets and ``manifest.json``; returns the manifest.
+    """Writes the split corpus, the held-out sets, the reports and ``manifest.json``; returns the manifest.
 
-    The deduplicated rows are written to the shared folder once; balancing and splitting then
-    read only the columns they need from there.
+    Sources are read once, into normalized rows. Deduplicating, balancing and splitting work on a table of
+    keys and labels without texts; texts move once, when the rows that stay are joined with their split, and
+    once more into shuffled order, which ``shuffle`` can turn off. The counts also lie as tables under
+    ``reports``, whatever number of sources, languages and labels there is.
     """
     sampling.check_ratio(target_ratio)
-    labelled = training_rows(spark, catalogue.training, max_text_chars, splits)
+    labelled = staged(training_rows(spark, catalogue.training, max_text_chars, splits), "normalized")
     rows = corpus.corpus_rows(labelled)
-    collisions = dedupe.collision_counts(rows)
-    deduped = staged(dedupe.keep_first(rows), "deduplicated")
-    balanced = sampling.balance(deduped, target_ratio, seed)
-    divided = sampling.split(balanced, seed)
-    sinks.write_splits(divided, f"{out}/splits")
-    final = spark.read.parquet(f"{out}/splits")
+    keys = staged(dedupe.key_table(rows, "label", "source", "lang"), "keys")
+    collisions = dedupe.collisions_of(keys)
+    deduped = staged(dedupe.first_of_keys(keys).select("pos", "label", "source", "lang"), "deduplicated")
+    final = staged(sampling.split(sampling.balance(deduped, target_ratio, seed), seed), "divided")
+    divided = rows.join(final.select("pos", "split"), "pos")
+    sinks.write_splits(sampling.shuffled_within(divided, "split", seed) if shuffle else divided, f"{out}/splits")
+    sinks.write_report(summaries.source_stats(labelled), f"{out}/reports/sources")
+    sinks.write_report(summaries.split_summary(final), f"{out}/reports/splits")
 
     held_out = {}
     for i, spec in enumerate(catalogue.held_out):
-        part = labelled_source(spark, spec, i, max_text_chars, (splits or {}).get(spec.name))
+        part = staged(labelled_source(spark, spec, i, max_text_chars, (splits or {}).get(spec.name)), "held-out")
         sinks.write_held_out(corpus.corpus_rows(part), out, spec.name)
         held_out.update(_source_report([spec], part))
 

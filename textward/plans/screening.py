@@ -60,19 +60,54 @@ def _prompts(conversations: DataFrame) -> DataFrame:
 
 
 def _answers(conversations: DataFrame) -> DataFrame:
-    """Assistant turns, under the number of the turn before them."""
     return conversations.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
+        F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("text").alias("response")
     )
 
 
+TURNS_PER_CHUNK = 1024
+
+
+def next_answers(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, answer_turn) of the turns a user speaks at, answered or not.
+
+    A user's turn is answered by the next one of its conversation at which the user or the assistant
+    speaks, if the assistant does; turns of others and missing numbers in between do not matter.
+
+    Turns are looked at in chunks, whose last turn needs the first one of a later chunk: one narrow row per
+    chunk goes through the window of a whole conversation, so that a conversation of millions of turns is
+    spread over all tasks. Rows without a conversation or turn have no answer.
+    """
+    spoken = (
+        conversations.filter(F.col("role").isin("user", "assistant"))
+        .groupBy("conv_id", "turn").agg(F.max(F.col("role") == "user").alias("asks"), F.max(F.col("role") == "assistant").alias("answers"))
+        .withColumn("chunk", F.floor(F.col("turn") / TURNS_PER_CHUNK))
+    )
+    turn = F.struct("turn", "answers")
+    in_chunk = Window.partitionBy("conv_id", "chunk").orderBy("turn")
+    chunks = spoken.groupBy("conv_id", "chunk").agg(F.min(turn).alias("first"))
+    later = chunks.select("conv_id", "chunk", F.lead("first").over(Window.partitionBy("conv_id").orderBy("chunk")).alias("later"))
+    # A chunk has 1,024 rows at most; only the last of them looks beyond it.
+    here = spoken.withColumn("next", F.lead(turn).over(in_chunk)).filter("asks")
+    found = here.join(later, ["conv_id", "chunk"], "left").withColumn("next", F.coalesce("next", "later"))
+    return found.select("conv_id", "turn", F.when(F.col("next.answers"), F.col("next.turn")).alias("answer_turn"))
+
+
+def _with_answers(prompts: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The prompts (conv_id, turn, ...) with the response that answers them, null if none does."""
+    found = next_answers(conversations).filter("answer_turn is not null")
+    answered = prompts.join(found, ["conv_id", "turn"], "left")
+    at = (F.col("conv_id") == F.col("a_conv")) & (F.col("answer_turn") == F.col("a_turn"))
+    return answered.join(_answers(conversations), at, "left").drop("answer_turn", "a_conv", "a_turn")
+
+
 def user_turns(conversations: DataFrame) -> DataFrame:
-    """Every user turn as a request, with the assistant turn right after it, if there is one.
+    """Every user turn as a request, with the assistant turn that answers it, if there is one.
 
-    Joined on (conversation, turn), a key no row shares with another, so that a long
+    Texts are joined on (conversation, turn), a key no row shares with another, so that a long
     conversation is spread over all tasks.
     """
-    return _prompts(conversations).join(_answers(conversations), ["conv_id", "turn"], "left")
+    return _with_answers(_prompts(conversations), conversations)
 
 
 def last_prompts(conversations: DataFrame) -> DataFrame:
@@ -91,16 +126,13 @@ def last_prompts(conversations: DataFrame) -> DataFrame:
 
 def last_turns(conversations: DataFrame) -> DataFrame:
     """One request per conversation: its last user prompt and the response recorded for it."""
-    return last_prompts(conversations).join(_answers(conversations), ["conv_id", "turn"], "left")
+    return _with_answers(last_prompts(conversations), conversations)
 
 
 def requests_from_messages(df: DataFrame, messages: str = "messages") -> DataFrame:
     return df.withColumn("prompt", chat.last_user_prompt(F.col(messages)))
 
 
-TURNS_PER_CHUNK = 1024
-
-
 def with_history_language(turns: DataFrame, route: str = "route") -> DataFrame:
     """Adds ``history_lang``: the language of the last earlier turn that was told by its text.
 

@@ -60,16 +60,15 @@ def screen_stream(
     return screening.screen(requests, registry, options)
 
 
-def append_to_log(results: DataFrame, log: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Appends every micro-batch to the decision log.
+def append_to_log(results: DataFrame, log: str, checkpoint: str, trigger: dict, source: str = "stream") -> StreamingQuery:
+    """Appends every micro-batch to the decision log, where batch jobs append too.
 
-    Each batch has its own folder, written over if the batch is repeated, so that a restart
-    neither loses nor doubles entries.
+    The batch's number is its name there: repeated after a restart, it replaces what it wrote, so no
+    entry is lost or doubled. Several streams into one log take different ``source`` names.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        entries = screening.log_entries(batch)
-        decision_log.stamped(entries).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        decision_log.append(screening.log_entries(batch), log, f"{source}-{batch_id}")
 
     return (
         results.writeStream.foreachBatch(write)

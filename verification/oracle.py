@@ -363,6 +363,16 @@ _LAST = """SELECT p.conv_id, p.prompt, a.text AS response FROM
   LEFT JOIN conversations a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 AND a.role = 'assistant'"""
 _DOCS = "SELECT doc_id, text AS prompt, text AS response FROM documents"
 _RESULT = "decision, status_code, content, detail, failed_filters, log_type, logged_response"
+SQL["next_responses"] = """
+WITH t AS (
+  SELECT conv_id, role, text, turn * 2 + CASE WHEN role = 'assistant' AND turn // 2 % 3 = 0 THEN 1 ELSE 0 END AS turn
+  FROM conversations
+), n AS (
+  SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+  FROM t WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+)
+SELECT conv_id, turn, text AS prompt, CASE WHEN next_role = 'assistant' THEN next_text END AS response
+FROM n WHERE role = 'user'"""
 _TURN_RESULTS = "WITH " + screened(_TURNS, "conv_id, turn")
 
 SQL["screen_conversations"] = f"{_TURN_RESULTS} SELECT conv_id, turn, {_RESULT} FROM results"
@@ -408,6 +418,13 @@ SELECT conv_id, turn, log_type AS type, decision, {_FAILED_OR_NONE} AS failed_fi
 WHERE stage <> 'no_prompt' ORDER BY conv_id DESC, turn DESC LIMIT 500"""
 SQL["recent_stats"] = f"""{_TURN_RESULTS}
 SELECT {_COUNTS} FROM (SELECT decision FROM results WHERE stage <> 'no_prompt')"""
+_LOG_AT = "to_timestamp(1700000000 + conv_id * 3600 + turn) AT TIME ZONE 'UTC'"
+SQL["log_roundtrip"] = f"""{_TURN_RESULTS}
+SELECT conv_id, turn, log_type AS type, decision, logged_response AS response, strftime({_LOG_AT}, '%Y-%m-%d') AS day
+FROM results WHERE stage <> 'no_prompt' AND {_LOG_AT} >= TIMESTAMP '2023-11-16'"""
+SQL["log_newest"] = f"""{_TURN_RESULTS}
+SELECT lpad(conv_id::VARCHAR, 12, '0') || '-' || lpad(turn::VARCHAR, 12, '0') AS id, log_type AS type, decision
+FROM results WHERE stage <> 'no_prompt' ORDER BY conv_id * 3600 + turn DESC, id DESC LIMIT 300"""
 SQL["error_payloads"] = f"""WITH {screened(_LAST, 'conv_id')}
 SELECT conv_id, status_code, '{{"error":{{"message":"' || CASE status_code WHEN 502 THEN 'Upstream LLM error: ' || content ELSE detail END
        || '"}}}}' AS payload
@@ -439,12 +456,51 @@ SELECT conv_id, turn, CASE conv_id % 8 WHEN 1 THEN '`prompts` must be a non-empt
   CASE conv_id % 8 WHEN 0 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE -1 END::BIGINT AS concurrency
 FROM conversations WHERE role = 'user'"""
 
+SQL["batch_flow"] = f"""
+WITH {screened(_DOCS, 'doc_id')},
+placed AS (SELECT decision, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM results)
+SELECT {_COUNTS}, min(place) AS first_place, max(place) AS last_place, count(DISTINCT place) AS places, 'none' AS error,
+       coalesce(sum(place) FILTER (decision = 'BLOCKED'), 0)::BIGINT AS blocked_places
+FROM placed"""
+_FAILS = "r_lang <> 'es' AND starts_with(prompt, 'T')"
+_BY_MODEL = f"CASE WHEN {_EXTERNAL.replace('text', 'prompt')} > 0.6::DOUBLE THEN ['external_model'] ELSE CAST([] AS VARCHAR[]) END"
+SQL["screen_failures"] = f"""
+WITH {screened(_DOCS, 'doc_id').replace(failed(GUARDS.inputs['en'], 'prompt'), _BY_MODEL).replace('policy_bypass_guard, prompt_injection_guard', 'external_model')}
+SELECT doc_id, CASE WHEN {_FAILS} THEN 'ERROR' ELSE decision END AS decision, CASE WHEN {_FAILS} THEN 503 ELSE status_code END::BIGINT AS status_code,
+       CASE WHEN {_FAILS} THEN 'INPUT_MODEL_ERROR' WHEN log_type <> '' THEN log_type END AS log_type,
+       CASE WHEN {_FAILS} THEN 'Input model error: ValueError: cannot score | ' || line ELSE detail END AS detail,
+       CASE WHEN {_FAILS} THEN '{{"error":{{"message":"Input model error: ValueError: cannot score | ' || line || '"}}}}' ELSE '' END AS error_payload
+FROM results"""
+_RUNS = """SELECT doc_id, lang, unnest([p[i:i + 2] FOR i IN range(1, length(p) - 1)]) AS gram
+  FROM (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) || ' ' AS p FROM documents)"""
+SQL["language_trained"] = f"""
+WITH runs AS ({_RUNS}),
+counts AS (SELECT gram, lang, count(*) AS n FROM runs WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, round(ln(sum(n) + (SELECT count(DISTINCT gram) FROM counts)) * 1000000)::BIGINT AS total FROM counts GROUP BY lang),
+sizes AS (SELECT doc_id, count(*) AS runs FROM runs GROUP BY doc_id),
+per_doc AS (SELECT doc_id, gram, count(*) AS n FROM runs GROUP BY ALL),
+hits AS (SELECT d.doc_id, c.lang, sum(d.n * round(ln(c.n + 1) * 1000000)::BIGINT) AS hit FROM per_doc d JOIN counts c USING (gram) GROUP BY ALL),
+scored AS (SELECT s.doc_id, runs, t.lang, coalesce(hit, 0) - runs * total AS score FROM sizes s CROSS JOIN totals t
+  LEFT JOIN hits h ON h.doc_id = s.doc_id AND h.lang = t.lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS place,
+           score - lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS ahead FROM scored)
+SELECT d.doc_id, CASE WHEN ahead IS NULL OR ahead >= 20000 * runs THEN r.lang ELSE 'unsure' END AS lang, d.lang AS label,
+       round(ahead::DOUBLE / (runs * 1000000.0::DOUBLE), 6) AS margin
+FROM documents d JOIN ranked r USING (doc_id) WHERE place = 1"""
+SQL["daily_rollups"] = """
+SELECT event_type, count(*) AS n, count(DISTINCT ts::DATE) AS days, round(avg(round(value * 100)::BIGINT), 6) AS mean_cents,
+       true AS p95_near, true AS users_near
+FROM events WHERE ts IS NOT NULL GROUP BY event_type"""
+
 # ---- corpus construction ------------------------------------------------------------------------
 
 SQL["dedupe_kept"] = f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {near_key('text')}"
 SQL["dedupe_rows"] = f"""
 SELECT doc_id, text, source, lang FROM documents
 WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY {near_key('text')})"""
+SQL["incremental_dedupe"] = f"""
+SELECT doc_id, (doc_id % 3)::INTEGER AS delivery FROM documents WHERE text IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY {near_key('text')} ORDER BY doc_id % 3, doc_id) = 1"""
 SQL["dedupe_counts"] = f"""
 WITH k AS (SELECT doc_id, text, {near_key('text')} AS k FROM documents),
 f AS (SELECT *, first_value(doc_id) OVER w AS first_id, first_value(text) OVER w AS first_text FROM k
@@ -461,13 +517,13 @@ FROM d WHERE source >= 'src13'"""
 _LABELLED = "labelled AS (SELECT doc_id, text, toxic AS label, source, lang, quality FROM documents JOIN labels USING (doc_id))"
 
 
-def balanced(rows: str, ratio: float) -> str:
-    """CTE ``balanced`` over a CTE of rows with doc_id, label, source and lang."""
+def balanced(rows: str, ratio: float, key: str = "doc_id") -> str:
+    """CTE ``balanced`` over a CTE of rows with doc_id, label, source and lang; ``key`` is what is hashed."""
     return f"""
 sizes AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0,
           round_even(count(*) FILTER (label = 1) * (1.0::DOUBLE - {ratio}::DOUBLE) / {ratio}::DOUBLE, 0)::BIGINT AS desired FROM {rows}),
-ranked AS (SELECT r.*, n1, n0, desired, sha256('7|' || doc_id) AS h,
-    row_number() OVER (PARTITION BY source, lang ORDER BY sha256('7|' || doc_id)) AS rn, count(*) OVER (PARTITION BY source, lang) AS size
+ranked AS (SELECT r.*, n1, n0, desired, sha256('7|' || {key}) AS h,
+    row_number() OVER (PARTITION BY source, lang ORDER BY sha256('7|' || {key})) AS rn, count(*) OVER (PARTITION BY source, lang) AS size
   FROM {rows} r, sizes WHERE label = 0),
 drawn AS (SELECT *, row_number() OVER (ORDER BY h) AS place FROM ranked
   WHERE NOT (n1 > 0 AND n0 > desired) OR rn <= least(size, greatest(1, round_even(desired * (size::DOUBLE / n0), 0)::BIGINT))),
@@ -475,9 +531,9 @@ balanced AS (SELECT doc_id, label, source, lang FROM {rows} WHERE label = 1
   UNION ALL SELECT doc_id, label, source, lang FROM drawn WHERE NOT (n1 > 0 AND n0 > desired) OR place <= desired)"""
 
 
-def divided(rows: str) -> str:
+def divided(rows: str, key: str = "doc_id") -> str:
     return f"""
-places AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY sha256('7-split|' || doc_id)) AS rn2,
+places AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY sha256('7-split|' || {key})) AS rn2,
                   count(*) OVER (PARTITION BY source, label) AS n FROM {rows}),
 divided AS (SELECT *, CASE WHEN rn2 <= round_even(n * 0.8::DOUBLE, 0) THEN 'train'
     WHEN rn2 <= round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM places)"""
@@ -506,6 +562,45 @@ firsts AS (SELECT * FROM clean WHERE doc_id IN (SELECT min(doc_id) FROM clean GR
 {balanced('firsts', 0.6)}, {divided('balanced')}
 SELECT doc_id, d.label::BIGINT AS label, d.lang, length(text)::BIGINT AS length, split FROM divided d JOIN firsts USING (doc_id)"""
 
+# Labelled documents as two training sources and a held-out one; a row's place is its source's and its doc_id.
+_PLACE = "'{' || CASE source WHEN 'first' THEN 0 ELSE 1 END || ', , ' || doc_id || '}'"
+_BUILT = f"""{_LABELLED},
+pooled AS (SELECT doc_id, {strip('text')} AS text, label, lang, (doc_id % 5)::INT // 2 AS priority, {_blank} AS blank,
+           ['first', 'second', 'jailbreakbench_behaviors'][1 + (doc_id % 5)::INT // 2] AS source FROM labelled),
+clean AS (SELECT *, row_number() OVER (PARTITION BY {near_key('text')} ORDER BY priority, doc_id) AS place,
+          first_value(text) OVER (PARTITION BY {near_key('text')} ORDER BY priority, doc_id) AS first_text
+          FROM pooled WHERE NOT blank AND priority < 2),
+firsts AS (SELECT * FROM clean WHERE place = 1),
+{balanced('firsts', 0.3, _PLACE)}, {divided('balanced', _PLACE)},
+final AS (SELECT doc_id, d.source, d.label, d.lang, length(text) AS length, split FROM divided d JOIN firsts USING (doc_id))"""
+SQL["split_sinks"] = f"""
+WITH {_BUILT}
+SELECT doc_id, source, label::BIGINT AS label, lang, length::BIGINT AS length, split FROM final"""
+SQL["held_out_sets"] = f"""
+WITH {_BUILT}
+SELECT doc_id, source, label::BIGINT AS label, lang, length(text)::BIGINT AS length FROM pooled WHERE NOT blank AND priority = 2"""
+SQL["manifest_rows"] = f"""
+WITH {_BUILT},
+stats AS (SELECT source, CASE WHEN priority < 2 THEN 'training_pool/per_source/' ELSE 'held_out/' END || source || '/' AS path,
+          count(*) AS n, count(*) FILTER (NOT blank) AS kept, count(*) FILTER (NOT blank AND label = 0) AS l0,
+          count(*) FILTER (NOT blank AND label = 1) AS l1 FROM pooled GROUP BY 1, 2),
+pool(path, n) AS (
+  SELECT 'pre_dedup_total', count(*) FROM clean UNION ALL SELECT 'post_dedup_total', count(*) FROM firsts
+  UNION ALL SELECT 'dedup/exact_collisions', count(*) FROM clean WHERE place > 1 AND text = first_text
+  UNION ALL SELECT 'dedup/near_dup_collisions', count(*) FROM clean WHERE place > 1 AND text <> first_text
+  UNION ALL SELECT 'balance/kept_pos', count(*) FILTER (label = 1) FROM final
+  UNION ALL SELECT 'balance/kept_neg', count(*) FILTER (label = 0) FROM final
+  UNION ALL SELECT 'balance/desired_neg', desired FROM sizes WHERE n1 > 0 AND n0 > 0
+  UNION ALL SELECT 'balance/neg_strata', (SELECT count(DISTINCT (source, lang)) FROM firsts WHERE label = 0) FROM sizes WHERE n1 > 0 AND n0 > desired
+  UNION ALL SELECT 'splits/' || s || '/total', count(*) FILTER (split = s) FROM final, (SELECT unnest(['train', 'val', 'test']) AS s) GROUP BY s
+  UNION ALL SELECT 'splits/' || split || '/by_source/' || source, count(*) FROM final GROUP BY split, source
+  UNION ALL SELECT 'splits/' || split || '/by_lang/' || lang, count(*) FROM final GROUP BY split, lang
+  UNION ALL SELECT 'splits/' || split || '/by_label/' || label, count(*) FROM final GROUP BY split, label)
+SELECT path || 'raw_rows_after_filter' AS path, n FROM stats UNION ALL SELECT path || 'kept_rows', kept FROM stats
+UNION ALL SELECT path || 'skipped_rows', n - kept FROM stats
+UNION ALL SELECT path || 'label_counts/0', l0 FROM stats WHERE l0 > 0 UNION ALL SELECT path || 'label_counts/1', l1 FROM stats WHERE l1 > 0
+UNION ALL SELECT 'training_pool/' || path, n FROM pool"""
+
 # ---- evaluation ---------------------------------------------------------------------------------
 
 
@@ -614,7 +709,7 @@ SQL["stream_screening"] = f"""{_DOC_RESULTS}
 SELECT doc_id, log_type AS type, decision, logged_response AS response, detail FROM results WHERE stage <> 'no_prompt'"""
 SQL["stream_newest"] = f"""{_DOC_RESULTS}
 SELECT doc_id, log_type AS type, decision FROM results WHERE stage <> 'no_prompt' ORDER BY doc_id DESC LIMIT 500"""
-SQL["stream_pairs"] = f"SELECT * FROM ({_TURNS}) WHERE response IS NOT NULL"
+SQL["stream_pairs"] = _TURNS
 SQL["stream_windows"] = SQL["windowed_decisions"] = """
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(avg(round(value * 100)::BIGINT), 6) AS mean_cents
 FROM events GROUP BY 1, 2"""

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from textward.functions import chat, labels, language, pii, scores
 from textward.functions import text as T
-from textward.operators import dedupe, metrics, ranks, sampling, summaries
+from textward.operators import dedupe, key_index, language_model, metrics, ranks, rollups, sampling, summaries
 from textward.operators import ensemble as E
 from textward.operators import models
-from textward.plans import evaluation, screening
+from textward.plans import corpus_build, evaluation, screening
 from textward.session import scratch_path, staged
 from textward.sources import batches, corpus, decision_log
 from textward.sources.reading import spread
-from textward.sources.catalogue import SourceSpec
+from textward.sources.catalogue import Catalogue, SourceSpec
 from textward.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -437,6 +437,14 @@ def screen_conversations(spark, sf_dir):
     return _flat(_screened_turns(spark, sf_dir), "conv_id", "turn")
 
 
+def next_responses(spark, sf_dir):
+    """Conversations whose turns are two apart and whose every third answer comes one later."""
+    apart = F.col("turn") * 2
+    late = (F.col("role") == "assistant") & (F.floor(F.col("turn") / 2) % 3 == 0)
+    moved = turns(spark, sf_dir).withColumn("turn", F.when(late, apart + 1).otherwise(apart))
+    return screening.user_turns(moved).select("conv_id", "turn", "prompt", "response")
+
+
 def screen_last_prompts(spark, sf_dir):
     return _flat(screening.screen(screening.last_turns(turns(spark, sf_dir)), GUARDS), "conv_id")
 
@@ -495,6 +503,34 @@ def recent_stats(spark, sf_dir):
     return decision_log.recent_stats(log)
 
 
+def _stored_log(spark, sf_dir) -> str:
+    """A log of the screened turns, an hour a conversation: three batches, one of them written twice."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn"))
+    name = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 12, "0"))
+    results = screening.log_entries(_screened_turns(spark, sf_dir)).select("conv_id", "turn", "type", "decision", "response")
+    entries = staged(results.withColumns({"ts": at, "id": name}), "entries")
+    path = scratch_path(spark, "log")
+    for batch in (0, 1, 2, 1):
+        decision_log.append(entries.filter(F.pmod("conv_id", F.lit(3)) == batch), path, batch)
+    return path
+
+
+def log_roundtrip(spark, sf_dir):
+    """What a log holds from a day on, after its first days went to a compacted copy and the rest followed."""
+    path, into = _stored_log(spark, sf_dir), scratch_path(spark, "compacted")
+    decision_log.compact(spark, path, into, "2023-11-17")
+    rest = decision_log.read(spark, path, "2023-11-17")
+    decision_log.append(rest.drop("day", "batch"), into, "rest")
+    log = decision_log.read(spark, into, "2023-11-16")
+    return log.select("conv_id", "turn", "type", "decision", "response", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+def log_newest(spark, sf_dir):
+    """The 300 newest entries of the stored log, from its last days."""
+    newest = decision_log.newest_of(spark, _stored_log(spark, sf_dir), 300)
+    return newest.select("id", "type", "decision")
+
+
 def error_payloads(spark, sf_dir):
     """What callers see of requests that end in an error."""
     failed = screening.screen(screening.last_turns(turns(spark, sf_dir)), GUARDS).filter("decision = 'ERROR'")
@@ -581,6 +617,70 @@ def batch_screening(spark, sf_dir):
     )
 
 
+def _prompt_files(spark, sf_dir) -> str:
+    """All documents as one request, a prompt a line, in several files."""
+    path = scratch_path(spark, "request")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    ordered = rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered.select(F.to_json(F.struct("doc_id", "prompt"))).write.text(path)
+    return path
+
+
+def batch_flow(spark, sf_dir):
+    """A request of all documents read in several tasks, checked, screened and summarised; the places of its
+    prompts are held against the documents' order."""
+    lines = batches.read_prompt_lines(spark, _prompt_files(spark, sf_dir))
+    error = batches.lines_error(lines)
+    asked = lines.select("index", "prompt", F.col("prompt").alias("response"))
+    results = staged(screening.screen(asked, GUARDS).select("index", "decision"), "batch")
+    at = results.agg(
+        F.min("index").alias("first_place"), F.max("index").alias("last_place"), F.count_distinct("index").alias("places"),
+        F.coalesce(F.sum(F.when(F.col("decision") == "BLOCKED", F.col("index"))), F.lit(0)).alias("blocked_places"),
+    ).first()
+    return batches.summary(results).select("*", F.lit(error or "none").alias("error"), *[F.lit(at[c]).cast("bigint").alias(c) for c in at.asDict()])
+
+
+def screen_failures(spark, sf_dir):
+    """Documents screened by a model that fails on some of them: those are errors, the others go on."""
+    registry = E.Registry(inputs={"en": [EXTERNAL], "es": GUARDS.inputs["es"]}, outputs=GUARDS.outputs)
+    d = docs(spark, sf_dir).select("doc_id", F.col("text").alias("prompt"), F.col("text").alias("response"))
+    r = screening.payload(screening.screen(d, registry))
+    failed = F.col("log_type") == "INPUT_MODEL_ERROR"
+    return r.select(
+        "doc_id", "decision", big("status_code").alias("status_code"), "log_type", "detail",
+        F.when(failed, F.col("payload")).otherwise("").alias("error_payload"),
+    )
+
+
+def language_trained(spark, sf_dir):
+    """Languages of all documents by a detector learned from every other one."""
+    d = docs(spark, sf_dir).select("doc_id", "text", "lang")
+    weights, totals = (staged(t, "language") for t in language_model.train(d.filter("doc_id % 2 = 0")))
+    found = language_model.detect(d, weights, totals, "doc_id")
+    return found.join(d.select("doc_id", F.col("lang").alias("label")), "doc_id").select(
+        "doc_id", F.coalesce("lang", F.lit("unsure")).alias("lang"), "label", r6("margin").alias("margin")
+    )
+
+
+def daily_rollups(spark, sf_dir):
+    """Events rolled up by day, the last days again when late ones came; estimates held against all events."""
+    e = events(spark, sf_dir)
+    path = scratch_path(spark, "rollups")
+    last = e.agg(F.date_sub(F.max(F.to_date("ts")), 2)).first()[0]
+    is_late = (F.col("event_id") % 7 == 0) & (F.to_date("ts") >= F.lit(last))
+    columns = {"by": "event_type", "value": "cents", "distinct": "user_id"}
+    rollups.store(rollups.partials(e.where(~F.coalesce(is_late, F.lit(False))), **columns), path)
+    rollups.refresh(e, e.where(is_late), path, **columns)
+    found = rollups.merged(rollups.read(spark, path), "event_type")
+    exact = e.join(found.select("event_type", "quantile"), "event_type").groupBy("event_type").agg(
+        (F.count_if(F.col("cents") <= F.col("quantile")) / F.count("cents")).alias("rank"), F.count_distinct("user_id").alias("users")
+    )
+    return found.join(exact, "event_type").select(
+        "event_type", "n", "days", r6("mean").alias("mean_cents"), F.abs(F.col("rank") - 0.95).between(0, 0.01).alias("p95_near"),
+        (F.abs(F.col("members") - F.col("users")) <= F.col("users") * 0.03).alias("users_near"),
+    )
+
+
 # ---- corpus construction ------------------------------------------------------------------------
 
 
@@ -592,6 +692,15 @@ def dedupe_rows(spark, sf_dir):
     return dedupe.keep_first(docs(spark, sf_dir), order="doc_id").select("doc_id", "text", "source", "lang")
 
 
+def incremental_dedupe(spark, sf_dir):
+    """Documents in three deliveries, each held against the keys of those before it."""
+    index, kept = scratch_path(spark, "index"), []
+    for delivery in range(3):
+        part = docs(spark, sf_dir).filter(F.pmod("doc_id", F.lit(3)) == delivery)
+        kept.append(key_index.admit(part, index, delivery, order="doc_id", digits=1).withColumn("delivery", F.lit(delivery)))
+    return kept[0].union(kept[1]).union(kept[2])
+
+
 def dedupe_counts(spark, sf_dir):
     c = dedupe.collision_counts(docs(spark, sf_dir), order="doc_id")
     return c.select(*[big(n).alias(n) for n in c.columns])
@@ -647,6 +756,46 @@ def built_corpus(spark, sf_dir):
     return final.select(F.col("pos").alias("doc_id"), big("label").alias("label"), "lang", big("length").alias("length"), "split")
 
 
+def _built_files(spark, sf_dir) -> tuple[str, dict]:
+    """A build from two training sources and a held-out one, over all labelled documents, in files."""
+    raw = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    part = {name: raw.filter(F.pmod("doc_id", F.lit(5)).isin(rests)) for name, rests in
+            {"first": [0, 1], "second": [2, 3], "jailbreakbench_behaviors": [4]}.items()}
+    spec = lambda name: SourceSpec(name, "text", label_field="toxic", language_field="lang", key_field="doc_id")
+    catalogue = Catalogue([spec("first"), spec("second")], [spec("jailbreakbench_behaviors")], [])
+    out = scratch_path(spark, "built")
+    return out, corpus_build.build(spark, catalogue, out, 0.3, splits={k: {"all": v} for k, v in part.items()})
+
+
+def split_sinks(spark, sf_dir):
+    """The split corpus as a build has written it."""
+    rows = spark.read.parquet(f"{_built_files(spark, sf_dir)[0]}/splits")
+    return rows.select(
+        F.col("pos.row").alias("doc_id"), "source", big("label").alias("label"), "lang", big("length").alias("length"), "split"
+    )
+
+
+def held_out_sets(spark, sf_dir):
+    """A held-out set as a build has written it, under its known name."""
+    rows = spark.read.parquet(f"{_built_files(spark, sf_dir)[0]}/eval_jailbreakbench.parquet")
+    return rows.select(F.col("pos.row").alias("doc_id"), "source", big("label").alias("label"), "lang", big("length").alias("length"))
+
+
+def _manifest_counts(value, path: tuple[str, ...] = ()):
+    """Every whole number of a manifest, by its path."""
+    if isinstance(value, dict):
+        for key, inner in value.items():
+            yield from _manifest_counts(inner, (*path, key))
+    elif isinstance(value, int) and not isinstance(value, bool):
+        yield "/".join(path), value
+
+
+def manifest_rows(spark, sf_dir):
+    """The counts of a build's manifest, read back from its file."""
+    counts = _manifest_counts(corpus_build.read_manifest(spark, _built_files(spark, sf_dir)[0]))
+    return spark.createDataFrame([c for c in counts if c[0] != "seed"], "path string, n bigint")
+
+
 # ---- evaluation ---------------------------------------------------------------------------------
 
 
@@ -795,7 +944,8 @@ def stream_newest(spark, sf_dir):
     arriving = _arriving_documents(spark, sf_dir)
     log = scratch_path(spark, "stream-log")
     _finish(live.append_to_log(live.screen_stream(arriving, GUARDS), log, scratch_path(spark, "cp"), _ONCE))
-    return decision_log.newest(decision_log.read(spark, log), 500, ("doc_id",)).select("doc_id", "type", "decision")
+    first_day = decision_log.days_of(decision_log.read(spark, log))[0]
+    return decision_log.newest(decision_log.read(spark, log, first_day), 500, ("doc_id",)).select("doc_id", "type", "decision")
 
 
 def stream_pairs(spark, sf_dir):
@@ -869,12 +1019,12 @@ _NAMES = [
     "keyword_ensemble", "aggregate_score", "score_summary", "blocking_labels", "blocking_confidence",
     "softmax_block", "clamp_threshold", "toxicity_details", "truncated_inputs", "external_classifier", "external_predictions",
     "resolve_labels", "resolve_lang", "filtered_source", "split_labels", "source_stats",
-    "last_user_prompt", "screen_conversations", "screen_last_prompts", "screen_documents",
+    "last_user_prompt", "next_responses", "screen_conversations", "screen_last_prompts", "screen_documents",
     "screen_without_output", "screening_scores", "decision_stats", "latency_stats", "blocked_by_freq",
-    "recent_decisions", "recent_stats", "error_payloads", "decision_filter", "score_band", "chat_messages", "chat_responses",
-    "batch_requests", "batch_screening",
-    "dedupe_kept", "dedupe_rows", "dedupe_counts", "unseen_documents", "balance", "balance_stats",
-    "split", "split_summary", "stratum_count", "training_order", "built_corpus",
+    "recent_decisions", "recent_stats", "log_roundtrip", "log_newest", "error_payloads", "decision_filter", "score_band", "chat_messages", "chat_responses",
+    "batch_requests", "batch_screening", "batch_flow", "screen_failures", "language_trained", "daily_rollups",
+    "dedupe_kept", "dedupe_rows", "incremental_dedupe", "dedupe_counts", "unseen_documents", "balance", "balance_stats",
+    "split", "split_summary", "stratum_count", "training_order", "built_corpus", "split_sinks", "held_out_sets", "manifest_rows",
     "confusion_slices", "roc_auc", "pr_auc", "evaluation_report", "rounded_report", "p95_rank", "threshold_sweep",
     "model_bake_off", "promotion_gate", "labelled_accuracy", "first_rows",
     "toxicity_model", "bundle_model", "embedding_head",
