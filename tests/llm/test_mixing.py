@@ -72,3 +72,21 @@ def test_odd_rows(spark, odd, none):
     assert all(r.copies <= 3 for r in mixed)
     empty = sized(none.drop("size"))
     assert mixing.mix(empty, weighted_targets(empty), F.col("quality")).count() == 0
+
+
+def test_slices_stay_small_for_any_weight(spark):
+    """With weights of a sixth, a thousandth and none at all, no slice holds much of a source."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit(10).cast("long").alias("size"))
+    for weight in (1.0, 1 / 6, 0.001, 0.0):
+        w = F.greatest(F.lit(weight), F.lit(1e-9))
+        key = -F.ln(mixing.uniform(F.col("doc_id"), 7)) / w
+        sizes = docs.groupBy(F.floor(F.ln(key) * mixing.SLICES)).count().agg(F.max("count")).first()[0]
+        assert sizes < 60_000 / 500
+
+
+def test_columns_of_the_result_s_names_are_replaced(spark):
+    docs = spark.createDataFrame([(i, "a", 10, i, 1.0, "x") for i in range(20)], "doc_id long, source string, size long, text_hash long, target double, copies string")
+    targets = mixing.source_targets(mixing.source_sizes(docs), F.lit(1))
+    out = mixing.mix(docs.withColumn("source_size", F.lit("y")), targets)
+    assert sorted(out.columns) == sorted(["doc_id", "source", "size", "text_hash", "source_size", "target", "copies"])
+    assert out.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] == 200

@@ -67,3 +67,13 @@ def test_a_list_is_learned_and_pruned(spark):
     assert 2 <= len(made.rules) <= 8 and all(1 <= len(r) <= 3 for r in made.rules)
     wrong = rows.where(made.rule().isNotNull() != bad).count()
     assert wrong == 0, [list(map(str, r)) for r in made.rules]
+
+
+def test_statistics_are_computed_once(spark, odd):
+    """A filter on a statistic reads it and does not compute it again; columns keep their names."""
+    docs = odd.withColumnRenamed("size", "_m").withColumnRenamed("lang", "made")
+    made = rules.statistics(docs)
+    assert made.columns[: len(docs.columns)] == docs.columns
+    features = [F.expr(e).alias(f) for f, e in rules.FEATURES.items()]
+    plan = made.where(~rules.base_failed()).select("doc_id", *features)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 3  # symbols, marks, capitals

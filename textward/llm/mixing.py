@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from textward.llm.common import uniform
 from textward.session import staged
 
-# A source's documents are cut by their key into so many slices; only the slice in which a budget
-# ends is sorted.
-SLICES = 4096
+# A source's documents are cut into slices by the logarithm of their key, so many to a unit; only the slice in
+# which a budget ends is sorted. Whatever the scale of the weights, no slice has more than 1 / (e * SLICES) of
+# the documents of one weight.
+SLICES = 1024
 
 
 def source_targets(sizes: DataFrame, weight: Column, most: float = 3.0) -> DataFrame:
@@ -51,7 +52,8 @@ def source_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: DataFrame, quality: Column | float = 1.0, seed: int = 7) -> DataFrame:
-    """Documents (doc_id, source, size, text_hash, ...) with their target and ``copies`` to take.
+    """Documents (doc_id, source, size, text_hash, ...) with ``source_size``, ``target`` and ``copies`` to take, in
+    place of columns so called.
 
     A source whose target is k times its size and more is taken k times whole; the remainder is a
     sample without replacement. Its order is Efraimidis and Spirakis': a key -ln(u) / w, u a random
@@ -59,9 +61,8 @@ def mix(docs: DataFrame, targets: DataFrame, quality: Column | float = 1.0, seed
     that order, and a document is taken while the remainder reaches over half of it: so the sample
     ends within half a document of its budget.
 
-    No source is sorted whole. Keys fall into slices of equal expected content; sums per (source,
-    slice) give the slice in which the budget ends, slices before it are taken, and only its own
-    documents are ordered. The joined table has one row per source; it is written first, so that
+    No source is sorted whole. Keys fall into slices; sums per (source, slice) give the slice in which
+    the budget ends, slices before it are taken, and only its own documents are ordered. The joined table has one row per source; it is written first, so that
     the planner knows its size. The documents are read twice: give them narrow, or written.
 
     A quality that is null or not above zero counts as the smallest weight: such documents come
@@ -70,9 +71,9 @@ def mix(docs: DataFrame, targets: DataFrame, quality: Column | float = 1.0, seed
     them may be the last one taken. Sources may be null. Reruns agree.
     """
     w = F.greatest(F.coalesce(F.lit(quality) if isinstance(quality, (int, float)) else quality, F.lit(0.0)), F.lit(1e-9))
+    docs = docs.drop("source_size", "target", "copies")
     keyed = docs.withColumn("_key", -F.ln(uniform(F.col("doc_id"), seed)) / w).withColumn(
-        # Even slices for weights near one; they keep the order of the keys for any.
-        "_slice", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * SLICES).cast("int")
+        "_slice", F.floor(F.ln("_key") * SLICES).cast("int")
     )
     t = targets.select(
         F.col("source").alias("_source"), "source_size", "target",

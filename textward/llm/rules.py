@@ -12,7 +12,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textward.functions.planning import bind
+from textward.functions.planning import bind, evaluate_here
 from textward.llm.common import uniform, words
 from textward.session import staged
 
@@ -57,6 +57,9 @@ FEATURES = {
 }
 
 
+STATISTICS = ("n_words", "word_chars", "n_distinct", "n_repeat_words", "n_symbols", "n_marks", "n_capitals", "n_dup_lines")
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their statistics in place of columns so called; the text stays.
 
@@ -67,22 +70,23 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
 
+    dup = bind(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long"))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+
     def measures(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
             repeated_words(w).alias("n_repeat_words"),
+            count(r"[#*$%&|<>]").alias("n_symbols"), count("[!?]").alias("n_marks"), count(r"\p{Lu}").alias("n_capitals"),
+            dup.alias("n_dup_lines"),
         )
 
-    made = bind(words(t), measures)
-    dup = bind(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long"))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
-    names = ("n_words", "word_chars", "n_distinct", "n_repeat_words")
-    return docs.withColumn("_m", made).withColumns({
-        **{n: F.col(f"_m.{n}") for n in names},
-        "n_symbols": count(r"[#*$%&|<>]"), "n_marks": count("[!?]"), "n_capitals": count(r"\p{Lu}"), "n_dup_lines": dup,
-    }).drop("_m")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in STATISTICS]
+    made = "made" + "_" * max(map(len, docs.columns))  # longer than any name there is
+    # Computed once: no filter or feature on a statistic computes it again.
+    return docs.select(*kept, evaluate_here(bind(words(t), measures)).alias(made)).select(*kept, f"{made}.*")
 
 
 def base_failed() -> Column:
