@@ -261,6 +261,26 @@ FROM p"""
 
 SQL["truncated_inputs"] = f"SELECT doc_id, {words('text')} >= 512 AS truncated FROM documents"
 
+SQL["subword_truncation"] = r"""
+WITH RECURSIVE pieces AS (SELECT unnest(json_keys(content::JSON, '$.model.vocab')) AS piece FROM read_text('/opt/tokenizers/word_bpe_49k.json')),
+vocab AS (SELECT DISTINCT CASE WHEN ends_with(piece, '</w>') THEN piece[:-5] ELSE piece END AS part, ends_with(piece, '</w>') AS final FROM pieces),
+found AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \t-\r]+')) AS word FROM documents),
+words AS (SELECT DISTINCT word FROM found),
+sizes AS (SELECT max(length(part)) AS most FROM vocab),
+parts AS (SELECT word, place, size, substr(word, place, size) AS part, place + size - 1 = length(word) AS last
+  FROM (SELECT word, place, unnest(range(1, least(most, length(word) - place + 1) + 1)) AS size
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS place FROM words), sizes)),
+best AS (SELECT p.word, p.place, max(p.size) AS size FROM parts p JOIN vocab v ON p.part = v.part AND (NOT v.final OR p.last) GROUP BY ALL),
+walk AS (
+  SELECT word, 1::BIGINT AS place, 0::BIGINT AS n FROM words
+  UNION ALL
+  SELECT w.word, w.place + coalesce(b.size, 1), w.n + 1 FROM walk w LEFT JOIN best b ON b.word = w.word AND b.place = w.place
+  WHERE w.place <= length(w.word)),
+counts AS (SELECT word, max(n) AS n FROM walk GROUP BY word),
+totals AS (SELECT doc_id, sum(n)::BIGINT AS pieces FROM found JOIN counts USING (word) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(pieces, 0) END AS pieces, coalesce(pieces, 0) >= 512 AS truncated
+FROM documents LEFT JOIN totals USING (doc_id)"""
+
 _EXTERNAL = "least(1.0::DOUBLE, (length(text) % 100)::DOUBLE / 80.0::DOUBLE)"
 SQL["external_classifier"] = f"""
 SELECT doc_id, NOT starts_with(text, 'T') AND {_EXTERNAL} <= 0.6::DOUBLE AS passed,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import chat, labels, language, pii, scores
 from textward.functions import text as T
-from textward.operators import dedupe, key_index, language_model, metrics, ranks, rollups, sampling, summaries
+from textward.operators import dedupe, key_index, language_model, metrics, ranks, rollups, sampling, subwords, summaries
 from textward.operators import ensemble as E
 from textward.operators import models
 from textward.plans import corpus_build, evaluation, screening
@@ -300,6 +300,16 @@ def truncated_inputs(spark, sf_dir):
     )
 
 
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def subword_truncation(spark, sf_dir):
+    """Pieces of every text by a vocabulary, longest match first, and whether a model of 512 saw its end."""
+    count = subwords.counter(spark, subwords.read_pieces(spark, VOCABULARY))
+    counted = docs(spark, sf_dir).select("doc_id", count(F.col("text")).alias("pieces"))
+    return counted.select("doc_id", "pieces", E.is_truncated(F.col("pieces"), 512).alias("truncated"))
+
+
 def _external() -> E.ClassifierSpec:
     """Stands in for a model from outside, one that cannot score texts beginning with T."""
 
@@ -1017,7 +1027,7 @@ _NAMES = [
     "normalize_ws", "clip_text", "injection_tags", "near_keys", "word_stats",
     "language_route", "route_vs_label_lang", "language_buckets", "history_language",
     "keyword_ensemble", "aggregate_score", "score_summary", "blocking_labels", "blocking_confidence",
-    "softmax_block", "clamp_threshold", "toxicity_details", "truncated_inputs", "external_classifier", "external_predictions",
+    "softmax_block", "clamp_threshold", "toxicity_details", "truncated_inputs", "subword_truncation", "external_classifier", "external_predictions",
     "resolve_labels", "resolve_lang", "filtered_source", "split_labels", "source_stats",
     "last_user_prompt", "next_responses", "screen_conversations", "screen_last_prompts", "screen_documents",
     "screen_without_output", "screening_scores", "decision_stats", "latency_stats", "blocked_by_freq",
