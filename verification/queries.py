@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from textward.functions import chat, labels, language, pii, scores
 from textward.functions import text as T
-from textward.operators import dedupe, key_index, language_model, metrics, ranks, rollups, sampling, subwords, summaries
+from textward.operators import (
+    dedupe, key_index, language_model, logistic, metrics, ranks, rollups, sampling, subwords, summaries, tfidf,
+)
 from textward.operators import ensemble as E
 from textward.operators import models
 from textward.plans import corpus_build, evaluation, screening
@@ -919,6 +921,33 @@ def embedding_head(spark, sf_dir):
     return out.select("vec_id", "label", "pred", F.round("score", 4).alias("score"))
 
 
+def tfidf_weights(spark, sf_dir):
+    """Of every document how many terms it has, the length of its weights before scaling, and its heaviest term."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    idf = staged(tfidf.fit(d, "doc_id"), "idf")
+    w = staged(tfidf.weights(d, idf, "doc_id"), "weights").join(idf, "term")
+    per_doc = w.groupBy("id").agg(
+        F.count(F.lit(1)).alias("terms"), F.sum(F.col("weight") * F.col("weight")).alias("unit"),
+        F.sum(F.col("n") * F.col("n") * F.col("idf") * F.col("idf")).alias("squares"),
+        F.min(F.struct(-F.col("n") * F.col("idf"), "term"))["term"].alias("heaviest"),
+    )
+    found = d.join(per_doc, d["doc_id"] == per_doc["id"], "left")
+    return found.select(
+        "doc_id", F.coalesce("terms", F.lit(0)).alias("terms"), r6(F.sqrt("squares")).alias("length"), r6("unit").alias("unit"), "heaviest"
+    )
+
+
+def embedding_head_gradient(spark, sf_dir):
+    """A head fitted on embeddings by Newton's method: the gradient of its loss at every weight, recomputed in
+    expressions, is below a millionth of the rows."""
+    v = staged(table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") >= 5).cast("int").alias("label")), "head")
+    head = logistic.fit(v, "embedding", "label")
+    n = v.count()
+    return logistic.gradient(v, head, "embedding", "label").select(
+        big("place").alias("place"), (F.abs(F.col("gradient")) <= n * 1e-6).alias("near_zero")
+    )
+
+
 # ---- streams ------------------------------------------------------------------------------------
 
 _ONCE = {"availableNow": True}
@@ -1037,7 +1066,7 @@ _NAMES = [
     "split", "split_summary", "stratum_count", "training_order", "built_corpus", "split_sinks", "held_out_sets", "manifest_rows",
     "confusion_slices", "roc_auc", "pr_auc", "evaluation_report", "rounded_report", "p95_rank", "threshold_sweep",
     "model_bake_off", "promotion_gate", "labelled_accuracy", "first_rows",
-    "toxicity_model", "bundle_model", "embedding_head",
+    "toxicity_model", "bundle_model", "embedding_head", "tfidf_weights", "embedding_head_gradient",
     "stream_screening", "stream_newest", "stream_pairs", "stream_windows", "stream_first_arrivals",
     "windowed_decisions",
 ]
