@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textward.operators import dedupe, sampling, summaries
 from textward.plans import corpus_build
 from textward.sources import corpus, sinks
-from textward.sources.catalogue import SourceSpec, catalogue_table, read_catalogue, read_source
+from textward.sources.catalogue import Catalogue, SourceSpec, catalogue_table, read_catalogue, read_source
 
 
 def folded(text):
@@ -268,3 +268,28 @@ def test_shuffled_order(spark):
     df = spark.createDataFrame([(i, "t") for i in range(50)], "pos long, text string")
     got = [r["pos"] for r in sampling.shuffled(df).collect()]
     assert got == sorted(range(50), key=lambda p: hash_of("7-order", p)) and got != list(range(50))
+
+
+def test_rows_of_a_split_lie_in_shuffled_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(400)], "pos long, split string").repartition(6)
+    sinks.write_splits(sampling.shuffled_within(df, "split"), str(tmp_path / "s"))
+    for split in ("a", "b"):
+        got = [r["pos"] for f in sorted((tmp_path / "s" / f"split={split}").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+        assert got == sorted((i for i in range(400) if ("a" if i % 3 else "b") == split), key=lambda p: hash_of("7-order", p))
+
+
+def test_a_build_without_kept_rows(spark, tmp_path):
+    raw = spark.createDataFrame([(1, None, 1), (2, " ", 0)], "k long, text string, label int")
+    spec = SourceSpec("none", "text", label_field="label", key_field="k")
+    manifest = corpus_build.build(spark, Catalogue([spec], [], []), str(tmp_path / "out"), splits={"none": {"all": raw}})
+    pool = manifest["training_pool"]
+    assert (pool["pre_dedup_total"], pool["post_dedup_total"], pool["per_source"]["none"]["skipped_rows"]) == (0, 0, 2)
+    assert all(s["total"] == 0 for s in pool["splits"].values())
+
+
+def test_first_rows_of_keys_from_a_key_table(spark):
+    rows = [(i, "hot" if i % 2 else f"t{i % 7}") for i in range(500)]
+    df = spark.createDataFrame(rows, "pos long, text string").repartition(8)
+    keys = dedupe.key_table(df)
+    assert sorted(r["pos"] for r in dedupe.first_of_keys(keys).collect()) == sorted(p for p, _ in first_of_each(rows).values())
+    assert dedupe.collisions_of(keys).first() == dedupe.collision_counts(df).first()
