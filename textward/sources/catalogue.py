@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORCED = "__forced_label"
 FILE, ROW = "__file", "__row"
+# The columns that a row's split has.
+COLUMNS = "__columns"
 
 
 @dataclass(frozen=True)
@@ -94,23 +99,34 @@ def read_splits(spark: SparkSession, spec: SourceSpec, splits: list[str]) -> dic
 def _load(spark: SparkSession, spec: SourceSpec, path: str) -> DataFrame:
     """The table at a path with its rows' places: split and file name, and row in the file.
 
-    Only Parquet tells a row's number; elsewhere a hash of the row stands in, so that a task that
+    Files of one split may differ in their columns: the schema has all of them, and a row of a file without one
+    has null there. Only Parquet tells a row's number; elsewhere a hash of the row stands in, so that a task that
     runs again still finds the same order.
     """
-    df = spark.read.format(spec.format).load(path)
+    reader = spark.read.format(spec.format)
+    if spec.format in ("parquet", "orc"):
+        reader = reader.option("mergeSchema", "true")
+    df = reader.load(path)
     file = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+/[^/]+$", 0)
     row = F.col("_metadata.row_index") if spec.format == "parquet" else F.xxhash64(F.struct("*"))
     return df.select("*", file.alias(FILE), row.alias(ROW))
 
 
 def split_names(spark: SparkSession, spec: SourceSpec) -> list[str]:
-    """The split folders under the source's path, by name."""
+    """The split folders under the source's path, by name; none if files lie there themselves.
+
+    The folders are told from the paths of the files in them; no file is opened.
+    """
     base = f"{spec.path.rstrip('/')}/{spec.config}" if spec.config else spec.path.rstrip("/")
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
-    names = [s.getPath().getName() for s in listing if s.isDirectory()]
-    return sorted(n for n in names if not n.startswith(("_", ".")))
+    inside = re.compile(re.escape(f"/{base.rsplit('/', 1)[-1]}/") + r"([^/]+)/[^/]+$")
+    try:
+        files = spark.read.format("binaryFile").load(f"{base}/*/*").inputFiles()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    found = {unquote(m[1]) for f in files if (m := inside.search(f))}
+    return sorted(n for n in found if not n.startswith(("_", ".")))
 
 
 def read_source(
@@ -129,6 +145,8 @@ def read_source(
     parts = []
     for name in wanted or list(splits):
         part = splits[name]
+        # Not the same as null: a column that a split does not have leaves its rows to the source's default.
+        part = part.withColumn(COLUMNS, F.lit([c for c in part.columns if c not in (FILE, ROW)]))
         if spec.split_per_label:
             part = part.withColumn(FORCED, F.lit(int(spec.split_per_label[name])))
         parts.append(part)

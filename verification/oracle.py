@@ -593,6 +593,10 @@ clean AS (SELECT *, row_number() OVER (PARTITION BY {near_key('text')} ORDER BY
 firsts AS (SELECT * FROM clean WHERE place = 1),
 {balanced('firsts', 0.3, _PLACE)}, {divided('balanced', _PLACE)},
 final AS (SELECT doc_id, d.source, d.label, d.lang, length(text) AS length, split FROM divided d JOIN firsts USING (doc_id))"""
+SQL["catalogue_scan"] = """
+SELECT doc_id, ['train', 'train', 'test', 'validation'][1 + (doc_id % 4)::INT] AS split, CASE WHEN doc_id % 4 = 0 THEN lang END AS lang,
+       CASE WHEN doc_id % 4 = 1 THEN source END AS source, doc_id % 4 <> 2 AS has_lang
+FROM documents"""
 SQL["split_sinks"] = f"""
 WITH {_BUILT}
 SELECT doc_id, source, label::BIGINT AS label, lang, length::BIGINT AS length, split FROM final"""

@@ -22,7 +22,7 @@ from textward.plans import corpus_build, evaluation, screening
 from textward.session import scratch_path, staged
 from textward.sources import batches, corpus, decision_log
 from textward.sources.reading import spread
-from textward.sources.catalogue import Catalogue, SourceSpec
+from textward.sources.catalogue import COLUMNS, FILE, Catalogue, SourceSpec, read_source
 from textward.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -779,6 +779,20 @@ def _built_files(spark, sf_dir) -> tuple[str, dict]:
     return out, corpus_build.build(spark, catalogue, out, 0.3, splits={k: {"all": v} for k, v in part.items()})
 
 
+def catalogue_scan(spark, sf_dir):
+    """Documents written as splits whose files differ in their columns, read back by a catalogue's source."""
+    path, d = scratch_path(spark, "source"), table(spark, sf_dir, "documents")
+    part = lambda i: d.filter(F.pmod("doc_id", F.lit(4)) == i)
+    part(0).select("doc_id", "text", "lang").write.parquet(f"{path}/train")
+    part(1).select("doc_id", "text", "source").write.mode("append").parquet(f"{path}/train")
+    part(2).select("doc_id", "text").write.parquet(f"{path}/test")
+    part(3).select("doc_id", "text", F.lit(None).cast("string").alias("lang")).write.parquet(f"{path}/validation")
+    rows = read_source(spark, SourceSpec("documents", "text", path=path, split="all"))
+    return rows.select(
+        "doc_id", F.element_at(F.split(F.col(FILE), "/"), 1).alias("split"), "lang", "source", F.array_contains(COLUMNS, "lang").alias("has_lang")
+    )
+
+
 def split_sinks(spark, sf_dir):
     """The split corpus as a build has written it."""
     rows = spark.read.parquet(f"{_built_files(spark, sf_dir)[0]}/splits")
@@ -1063,7 +1077,7 @@ _NAMES = [
     "recent_decisions", "recent_stats", "log_roundtrip", "log_newest", "error_payloads", "decision_filter", "score_band", "chat_messages", "chat_responses",
     "batch_requests", "batch_screening", "batch_flow", "screen_failures", "language_trained", "daily_rollups",
     "dedupe_kept", "dedupe_rows", "incremental_dedupe", "dedupe_counts", "unseen_documents", "balance", "balance_stats",
-    "split", "split_summary", "stratum_count", "training_order", "built_corpus", "split_sinks", "held_out_sets", "manifest_rows",
+    "split", "split_summary", "stratum_count", "training_order", "built_corpus", "catalogue_scan", "split_sinks", "held_out_sets", "manifest_rows",
     "confusion_slices", "roc_auc", "pr_auc", "evaluation_report", "rounded_report", "p95_rank", "threshold_sweep",
     "model_bake_off", "promotion_gate", "labelled_accuracy", "first_rows",
     "toxicity_model", "bundle_model", "embedding_head", "tfidf_weights", "embedding_head_gradient",
