@@ -17,14 +17,14 @@ def read_stream(
 ) -> DataFrame:
     """The Parquet files of a folder as a stream; files that arrive later are picked up.
 
-    ``files`` is a pattern for the names of those that belong to it.
+    ``files`` is a pattern for the names of those that belong to it. One that names a folder stands for the
+    files in it, as a table is one file or a folder of them.
     """
     reader = spark.readStream.schema(schema)
-    if files:
-        reader = reader.option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    # In braces, a name is a pattern too: Spark streams from folders, or from whatever a pattern finds.
+    return reader.parquet(f"{folder}/{{{files}}}" if files else folder)
 
 
 def pair_turns(
