@@ -53,19 +53,22 @@ def append(entries: DataFrame, path: str, batch: str | int | None = None) -> Non
     """Adds the entries to the log, under their days and the name of the batch.
 
     A batch of a name the log has already replaces it, on all days it had; without a name it is a new one.
-    The table keeps everything; what is bounded are the views on it.
+    The table keeps everything; what is bounded are the views on it. A day's entries of a batch lie in one file,
+    or in a few if there are many, whatever number of tasks made them.
     """
     spark = entries.sparkSession
     before = _folder(spark, path, f"day=*/batch={batch}") if batch is not None else None
     old_days = set(days_of(before)) if before is not None else set()
     name = uuid.uuid4().hex if batch is None else str(batch)
     rows = stamped(entries).withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(name))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+    rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
     if old_days:
         # A repeated batch whose entries fall on other days now: the folders it had there become empty.
-        after = _folder(spark, path, f"day=*/batch={batch}")
         written = rows.select(F.col("day").cast("string")).distinct() if "ts" in entries.columns else None
-        new_days = {r[0] for r in written.collect()} if written is not None else {days_of(after)[-1]}
+        new_days = {r[0] for r in written.collect()} if written is not None else set()
+        after = _folder(spark, path, f"day=*/batch={batch}") if old_days - new_days else None
+        if written is None:
+            new_days = {days_of(after)[-1]}
         for day in old_days - new_days:
             nothing = after.drop("day", "batch").limit(0)
             nothing.write.mode("overwrite").parquet(f"{path}/day={day}/batch={batch}")
@@ -109,7 +112,7 @@ def compact(spark: SparkSession, path: str, into: str, before_day: str) -> None:
     when it is done, and the days from ``before_day`` on are appended to it as the batches they were.
     """
     old = read(spark, path).filter(F.col("day") < F.lit(before_day).cast("date")).withColumn("batch", F.lit("compacted"))
-    rows = old.repartition("day", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("day", "ts")
+    rows = old.hint("rebalance", "day").sortWithinPartitions("day", "ts")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(into)
 
 
