@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textward.functions.planning import broadcast_if_small
 from textward.session import staged
 
 TERM = r"[\p{L}\p{N}]+"
 
 
 def term_counts(docs: DataFrame, id: str, text: str = "text") -> DataFrame:
-    """(id, term, n): how often each term, a run of letters and digits in lower case, is in each document."""
-    terms = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), 0)
-    return docs.select(F.col(id).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    """(id, term, n): how often each term, a run of letters and digits in lower case, is in each document.
+
+    Texts are dealt by id and taken apart there: that moves less than their terms, and what is grouped by id
+    afterwards need not move again.
+    """
+    dealt = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).repartition("id")
+    terms = F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)
+    return dealt.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -33,7 +39,10 @@ def fit(docs: DataFrame, id: str, text: str = "text", at_least: int = 1) -> Data
 
 def weights(docs: DataFrame, idf: DataFrame, id: str, text: str = "text") -> DataFrame:
     """(id, term, n, weight) of the documents' terms that the table knows: count times idf, scaled so that each
-    document's weights have unit length. A plain equi-join by term, which splits those that are everywhere."""
-    raw = staged(term_counts(docs, id, text).join(idf, "term").select("id", "term", "n", (F.col("n") * F.col("idf")).alias("raw")), "weights")
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, "id").select("id", "term", "n", (F.col("raw") / F.col("length")).alias("weight"))
+    document's weights have unit length. A table of few terms is broadcast, so that the documents' terms stay
+    where they are; a larger one is a plain equi-join by term, which splits those that are everywhere."""
+    known = broadcast_if_small(staged(idf.select("term", "idf"), "idf"))
+    raw = term_counts(docs, id, text).join(known, "term").select("id", "term", "n", (F.col("n") * F.col("idf")).alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
+    weighed = raw.withColumn("length", length).where("id is not null")
+    return weighed.select("id", "term", "n", (F.col("raw") / F.col("length")).alias("weight"))
