@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import chat, labels, language, pii, scores
 from textward.functions import text as T
+from textward.functions.planning import broadcast_if_small
 from textward.operators import (
     dedupe, key_index, language_model, logistic, metrics, ranks, rollups, sampling, subwords, summaries, tfidf,
 )
@@ -630,10 +631,10 @@ def batch_screening(spark, sf_dir):
 
 
 def _prompt_files(spark, sf_dir) -> str:
-    """All documents as one request, a prompt a line, in several files."""
+    """All documents as one request, a prompt a line, in several files, more of them for a larger table."""
     path = scratch_path(spark, "request")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
-    ordered = rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange(max(4, rows.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id")
     ordered.select(F.to_json(F.struct("doc_id", "prompt"))).write.text(path)
     return path
 
@@ -939,7 +940,7 @@ def tfidf_weights(spark, sf_dir):
     """Of every document how many terms it has, the length of its weights before scaling, and its heaviest term."""
     d = docs(spark, sf_dir).select("doc_id", "text")
     idf = staged(tfidf.fit(d, "doc_id"), "idf")
-    w = staged(tfidf.weights(d, idf, "doc_id"), "weights").join(idf, "term")
+    w = tfidf.weights(d, idf, "doc_id").join(broadcast_if_small(idf), "term")
     per_doc = w.groupBy("id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum(F.col("weight") * F.col("weight")).alias("unit"),
         F.sum(F.col("n") * F.col("n") * F.col("idf") * F.col("idf")).alias("squares"),
