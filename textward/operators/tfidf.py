@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textward.functions.planning import broadcast_if_small
+from textward.functions.planning import SMALL, broadcast_if_small
 from textward.session import staged
 
 TERM = r"[\p{L}\p{N}]+"
@@ -18,8 +18,26 @@ def term_counts(docs: DataFrame, id: str, text: str = "text") -> DataFrame:
     afterwards need not move again.
     """
     dealt = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).repartition("id")
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)
-    return dealt.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return dealt.select("id", F.explode(_terms("text")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _terms(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
+
+
+def _terms_of_each(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(term) once for each document that has it. Texts stay where they are, but for those whose id comes again; if
+    those ids are many, all are dealt by id."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    again = staged(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again")), "again")
+    n = again.count()
+    if n > SMALL:
+        return term_counts(rows, "id").select("term")
+    if not n:
+        return rows.select(F.explode(F.array_distinct(_terms("text"))).alias("term"))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    alone = rows.join(F.broadcast(again), same, "left_anti").select(F.explode(F.array_distinct(_terms("text"))).alias("term"))
+    return alone.union(term_counts(rows.join(F.broadcast(again), same, "left_semi"), "id").select("term"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -33,16 +51,17 @@ def fit(docs: DataFrame, id: str, text: str = "text", at_least: int = 1) -> Data
     All documents count, those without terms too. One table that later texts are weighed by.
     """
     n = docs.count()
-    found = document_frequencies(term_counts(docs, id, text)).where(F.col("documents") >= at_least)
+    found = document_frequencies(_terms_of_each(docs, id, text)).where(F.col("documents") >= at_least)
     return found.select("term", (F.ln(F.lit(1.0 + n) / (F.col("documents") + 1)) + 1).alias("idf"))
 
 
 def weights(docs: DataFrame, idf: DataFrame, id: str, text: str = "text") -> DataFrame:
-    """(id, term, n, weight) of the documents' terms that the table knows: count times idf, scaled so that each
+    """(id, term, n, idf, weight) of the documents' terms that the table knows: count times idf, scaled so that each
     document's weights have unit length. A table of few terms is broadcast, so that the documents' terms stay
-    where they are; a larger one is a plain equi-join by term, which splits those that are everywhere."""
+    where they are; a larger one is a plain equi-join by term, which splits those that are everywhere. What is
+    grouped by id afterwards does not move."""
     known = broadcast_if_small(staged(idf.select("term", "idf"), "idf"))
-    raw = term_counts(docs, id, text).join(known, "term").select("id", "term", "n", (F.col("n") * F.col("idf")).alias("raw"))
+    raw = term_counts(docs, id, text).join(known, "term").select("id", "term", "n", "idf", (F.col("n") * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
     weighed = raw.withColumn("length", length).where("id is not null")
-    return weighed.select("id", "term", "n", (F.col("raw") / F.col("length")).alias("weight"))
+    return weighed.select("id", "term", "n", "idf", (F.col("raw") / F.col("length")).alias("weight"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from textward.functions import chat, labels, language, pii, scores
 from textward.functions import text as T
-from textward.functions.planning import broadcast_if_small
 from textward.operators import (
     dedupe, key_index, language_model, logistic, metrics, ranks, rollups, sampling, subwords, summaries, tfidf,
 )
@@ -940,7 +939,7 @@ def tfidf_weights(spark, sf_dir):
     """Of every document how many terms it has, the length of its weights before scaling, and its heaviest term."""
     d = docs(spark, sf_dir).select("doc_id", "text")
     idf = staged(tfidf.fit(d, "doc_id"), "idf")
-    w = tfidf.weights(d, idf, "doc_id").join(broadcast_if_small(idf), "term")
+    w = tfidf.weights(d, idf, "doc_id")
     per_doc = w.groupBy("id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum(F.col("weight") * F.col("weight")).alias("unit"),
         F.sum(F.col("n") * F.col("n") * F.col("idf") * F.col("idf")).alias("squares"),
