@@ -30,7 +30,7 @@ def test_texts_of_ids_that_come_once_do_not_move(spark):
 
 def test_weights_of_many_terms_are_joined_once(spark, monkeypatch):
     """By term, and back by id: the idf is there, and what is grouped by id stays."""
-    monkeypatch.setattr(tfidf, "broadcast_if_small", lambda table: table)
+    monkeypatch.setattr(tfidf, "SMALL", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         docs = spark.createDataFrame([(i, f"a b{i} c") for i in range(20)], "id long, text string")

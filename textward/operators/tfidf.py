@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textward.functions.planning import SMALL, broadcast_if_small
+from textward.functions.planning import SMALL
 from textward.session import staged
 
 TERM = r"[\p{L}\p{N}]+"
@@ -60,8 +60,13 @@ def weights(docs: DataFrame, idf: DataFrame, id: str, text: str = "text") -> Dat
     document's weights have unit length. A table of few terms is broadcast, so that the documents' terms stay
     where they are; a larger one is a plain equi-join by term, which splits those that are everywhere. What is
     grouped by id afterwards does not move."""
-    known = broadcast_if_small(staged(idf.select("term", "idf"), "idf"))
-    raw = term_counts(docs, id, text).join(known, "term").select("id", "term", "n", "idf", (F.col("n") * F.col("idf")).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    weighed = raw.withColumn("length", length).where("id is not null")
-    return weighed.select("id", "term", "n", "idf", (F.col("raw") / F.col("length")).alias("weight"))
+    known = staged(idf.select("term", "idf"), "idf")
+    small = known.count() <= SMALL
+    found = term_counts(docs, id, text).join(F.broadcast(known) if small else known, "term").select("id", "term", "n", "idf")
+    if not small:
+        # Dealt before anything is computed of it: numbers made of n and idf do not move.
+        found = found.where("id is not null").repartition("id")
+    raw = F.col("n") * F.col("idf")
+    length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("id")))
+    weighed = found.withColumn("length", length).where("id is not null")
+    return weighed.select("id", "term", "n", "idf", (raw / F.col("length")).alias("weight"))
